@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, packing, token_store, url_rules
+from tidemark.llm import benchmark, ngram_join, packing, token_store, url_rules
 from tidemark.llm.shared import fresh_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,10 @@ select page_id, host, path, rule, coalesce(rverdict, 'allow') as verdict from fi
 """
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -76,6 +80,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_url_filters": op5_url_filters,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_store": op9_token_store,
     "op10_packing": op10_packing,
 }
