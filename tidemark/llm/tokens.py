@@ -1,13 +1,15 @@
 """Token ids of whole texts, by a tokenizer file, fast enough for a corpus.
 
-The tokenizer's pre-tokeniser never joins characters across a space, so a text's ids are the ids of its
-space-separated chunks end to end. Chunks seen before come from a bounded table; the others are encoded by
-the tokenizers library itself.
+The tokenizer's pre-tokeniser never joins characters across white space, so a text's ids are the ids of its
+space-separated chunks end to end. Chunks seen before come from a bounded table. New chunks of ASCII and
+Latin letters are parted into the pre-tokeniser's words here, and only words not seen before go through the
+tokenizer's merges, many at once; all other chunks are encoded by the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -15,31 +17,58 @@ from tidemark.llm.shared import ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bounds of a worker's table of chunks: entries and ids in it; beyond either it starts anew.
-MOST_CHUNKS, MOST_IDS = 600_000, 8_000_000
+#: Bounds of a worker's tables: chunks, words and ids in them; beyond any of them it goes back to its first BASE chunks.
+MOST_CHUNKS, MOST_WORDS, MOST_IDS, BASE = 800_000, 600_000, 8_000_000, 250_000
+
+#: What other texts have; the lower case and normal form of plain ones are the same in any Unicode version.
+_NOT_PLAIN = re.compile("[^\n\x20-\x7e\u00c0-\u012f\u0131-\u017f]")
+#: The pre-tokeniser's words of a plain chunk in lower case, by the tokenizer file's own pattern.
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u017f"
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import json
+
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = None
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        kinds = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        parts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"].get("Regex") == WORD_PATTERN and not told.get("post_processor"):
+            self.merges = Tokenizer.from_file(path)
+            self.merges.normalizer = normalizers.Sequence([])
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for word, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = word.endswith(told["model"]["end_of_word_suffix"])
+        elif kinds != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError(f"{path}: not a tokenizer that drops white space")
+        if not all("<" in x["content"] for x in told.get("added_tokens", [])):
+            self.merges = None
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-
-    def learn(self, chunks: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
-        first, n = len(self.slots), len(chunks)
+        self.words: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.sizes, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.base: tuple[dict[str, int], dict[str, int], int, int] = ({}, {}, 0, 0)
+
+    def forget(self) -> None:
+        slots, words, self.used, self.n = self.base
+        self.slots, self.words = dict(slots), dict(words)
+
+    def keep(self, flat: np.ndarray, sizes: np.ndarray) -> range:
+        """Put runs of ids into the pool; their slots."""
+        first, n = self.n, len(sizes)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while first + n > len(self.starts):
@@ -49,16 +78,59 @@ class Encoder:
         self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : first + n] = sizes
         self.used += len(flat)
-        self.slots.update(zip(chunks, range(first, first + n), strict=True))
+        self.n += n
+        return range(first, first + n)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+
+    def learn_words(self, words: list[str]) -> None:
+        for k in range(0, len(words), 500):
+            some = words[k : k + 500]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some) and last[-1] == len(ids) - 1:
+                sizes = np.diff(last, prepend=-1)
+            else:
+                ids, sizes = self.whole(some)
+            self.words.update(zip(some, self.keep(ids, sizes), strict=True))
+
+    def learn(self, chunks: list[str]) -> None:
+        plain: list[str] = []
+        other: list[str] = []
+        for c in chunks:
+            (other if not self.merges or "<" in c or _NOT_PLAIN.search(c) else plain).append(c)
+        if other:
+            self.slots.update(zip(other, self.keep(*self.whole(other)), strict=True))
+        if plain:
+            counts, words = np.zeros(len(plain), np.int64), []
+            for k, c in enumerate(plain):
+                part = _WORD.findall(c.lower())
+                counts[k] = len(part)
+                words += part
+            new = [w for w in dict.fromkeys(words) if w not in self.words]
+            if new:
+                self.learn_words(new)
+            which = np.array(list(map(self.words.__getitem__, words)), np.int64)
+            sizes = self.sizes[which]
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.concatenate([[0], np.cumsum(counts)])
+            self.slots.update(zip(plain, self.keep(self.pool[ragged(self.starts[which], sizes)], np.diff(before[at])), strict=True))
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end (each followed by `end`, if given), and the number of ids of each."""
-        if len(self.slots) > MOST_CHUNKS or self.used > MOST_IDS:
-            self.clear()
+        if len(self.slots) > MOST_CHUNKS or len(self.words) > MOST_WORDS or self.used > MOST_IDS:
+            self.forget()
+        elif len(self.slots) > BASE and not self.base[0]:
+            self.base = (dict(self.slots), dict(self.words), self.used, self.n)
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            part = text.split(" ")
+            if self.merges and (text.isascii() or not _NOT_PLAIN.search(text)) and "<" not in text:
+                text = text.lower()  # fewer different chunks
+            part = text.replace("\n", " ").split(" ")
             counts[k] = len(part)
             chunks += part
         slots = list(map(self.slots.get, chunks))
