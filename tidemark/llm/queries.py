@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, ngram_join, packing, token_store, url_rules
+from tidemark.llm import benchmark, ngram_join, packing, sentence_spans, token_store, url_rules
 from tidemark.llm.shared import fresh_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,12 @@ select page_id, host, path, rule, coalesce(rverdict, 'allow') as verdict from fi
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sentence_spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "text", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -80,6 +86,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_url_filters": op5_url_filters,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_store": op9_token_store,
     "op10_packing": op10_packing,
