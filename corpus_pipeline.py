@@ -1,15 +1,53 @@
-"""The corpus pipeline: stages that each take what the one before kept."""
+"""The corpus pipeline: stages that each take what the one before kept.
+
+quality drops documents that the classifier rejects; near_copies keeps one document of each group of near
+copies; repeats cuts spans of sentences that other documents have, too; leaks drops documents that benchmark
+items fill, and cuts what else of them occurs; packed makes sequences of token ids. All but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import benchmark, ngram_join, packing, quality, sentence_spans
+from tidemark.llm.queries import TOKENIZER, table
+from tidemark.llm.shared import stored
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "_score").where(F.col("_score") >= 0.3).drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs, size=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = sentence_spans.dedup(docs)
+    # documents of which nothing is left are dropped; those that were empty before stay
+    return cut.where((F.size("removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return benchmark.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(docs, TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", keep_quality), ("near_copies", drop_near_copies), ("repeats", cut_repeats), ("leaks", remove_leaks), ("packed", pack_sequences)]
 
-STAGES = []
+#: Tokenisers, hashes of words and learned weights are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -266,7 +266,7 @@ class _Prepared:
             raise ValueError("percent must be 1 to 100, size at least 1")
         self.size, self.percent = size, percent
         sets = stored(_sets(docs, size), "sets")
-        self.members = sets.where("cells is null").select("doc_id", "n", "class")
+        self.sets, self.members = sets, sets.where("cells is null").select("doc_id", "n", "class")
         sketch = docs.sparkSession.sparkContext.broadcast(_sketch(sets))
         self.entries = stored(_shared_grams(_prefixes(docs, size, percent, sketch), percent), "entries")
         candidates = self.entries.select("class").distinct()
@@ -296,14 +296,17 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     than all others. Other columns are not looked at; an empty table gives no rows.
     """
     p = _Prepared(docs, size, percent)
+    done = [p.entries, p.ranges, p.texts]  # tables that aren't needed once the labels are known
     tested = pairs = stored(p.entries.where("pivot <> class").select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct(), "pairs")
     found = p.verify(pairs)
+    done += [pairs, found]
     turn = 0
     while True:
         label = components(found)
         labelled = p.entries.drop("pivot", "pivot_n").distinct().join(label, p.entries["class"] == label["node"], "left").withColumn("label", F.coalesce("label", "class")).drop("node")
         split = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
         open_ = stored(labelled.join(split, "gram", "left_semi"), "open")
+        done.append(open_)
         # pairs of members of one n-gram that are in different components
         per = open_.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         size_, left = per.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0))).first()
@@ -311,6 +314,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             break
         if left <= 20 * size_ or turn > 3:
             more = p.verify(_cross(open_, percent).join(tested, ["a", "b"], "left_anti"))
+            done.append(more)
             if more.head(1):
                 label = components(found.unionAll(more))
             break
@@ -321,12 +325,26 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         pairs = stored(ahead.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionAll(pairs)
         more = p.verify(pairs)
+        done += [pairs, more]
         if not more.head(1):
             turn = 4
         found, turn = found.unionAll(more), turn + 1
-        discard(open_)
     label = stored(label, "labels")
+    discard(*done)
     named = p.members.join(label, (p.members["class"] == label["node"]) & (p.members["n"] > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("label"))
     first = named.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("first"))
     found_in = named.join(first, named["label"] == first["l"], "left")
     return found_in.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group, that with the smallest doc_id; all columns.
+
+    Documents without words stay. Rows of one doc_id that have words are one document, of which one row stays.
+    """
+    found = stored(groups(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows")), "keep")
+    keep = lambda some: docs.join(some.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    repeated = found.where("n > 0 and rows > 1")
+    if not repeated.head(1):
+        return keep(found)
+    return keep(found.where("n = 0 or rows = 1")).unionByName(keep(repeated).dropDuplicates(["doc_id"]))
