@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, ngram_join, packing, quality, sentence_spans, token_store, url_rules
+from tidemark.llm import benchmark, edit_embedding, ngram_join, packing, quality, sentence_spans, token_store, url_rules
 from tidemark.llm.shared import fresh_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,11 @@ select page_id, host, path, rule, coalesce(rverdict, 'allow') as verdict from fi
 """
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edit_embedding.edited_with_next(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sentence_spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_url_filters": op5_url_filters,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_store": op9_token_store,
