@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, edit_embedding, ngram_join, packing, quality, sentence_spans, token_store, url_rules
+from tidemark.llm import benchmark, edit_embedding, ngram_join, packing, quality, sentence_spans, suffix_dedup, token_store, url_rules
 from tidemark.llm.shared import fresh_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=200, keep="none")
+    spans = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans"))
+    return cut.select("doc_id", "n_removed", spans.cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -95,6 +101,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_url_filters": op5_url_filters,

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import mixed, slices, text_bytes, texts_of
+from tidemark.llm.shared import Rolling, mixed, slices, text_bytes, texts_of
 
 SENTENCES, WORDS = 3, 20
 LONG, EVERY = 16, 6
@@ -33,23 +33,6 @@ _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _CODE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE[0]))
 
 
-class _Rolling:
-    """Hashes of any stretch of a sequence of 64-bit numbers, modulo 2^64."""
-
-    def __init__(self, codes: np.ndarray, base: int) -> None:
-        powers = np.full(len(codes) + 1, base, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * powers[:-1], out=self.sums[1:])
-        self.inverse = np.full(len(codes) + 1, pow(base, -1, 1 << 64), np.uint64)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
-
-    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[last] - self.sums[first]) * self.inverse[first])
-
-
 def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int) -> dict[str, np.ndarray]:
     """Spans of texts (UTF-8, end to end): hash, check, text (which), start and stop (code points; stop after the white space)."""
     space = _SPACE[data]
@@ -62,7 +45,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int) ->
     none = np.zeros(0, np.int64)
     if not len(first):
         return {"hash": none, "check": none, "text": none, "start": none, "stop": none}
-    word = _Rolling(_CODE[_LOWER[data]], _BASE[0]).of(first, last) + (last - first).astype(np.uint64)
+    word = Rolling(_CODE[_LOWER[data]], _BASE[0]).of(first, last) + (last - first).astype(np.uint64)
     text = np.searchsorted(offsets, first, "right") - 1
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     follow = np.append(first[1:], len(data))
@@ -82,7 +65,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int) ->
     follow = np.append(first, len(data))[b]
     stop = np.minimum(follow, offsets[text + 1])
     return {
-        "hash": _Rolling(word, _BASE[1]).of(a, b).view(np.int64), "check": (_Rolling(word, _BASE[2]).of(a, b) >> np.uint64(33)).astype(np.int64),
+        "hash": Rolling(word, _BASE[1]).of(a, b).view(np.int64), "check": (Rolling(word, _BASE[2]).of(a, b) >> np.uint64(33)).astype(np.int64),
         "text": text, "start": points[first[a]] - points[offsets[text]], "stop": points[stop] - points[offsets[text]],
     }
 
