@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, edit_embedding, ngram_join, packing, quality, sentence_spans, suffix_dedup, token_store, url_rules
-from tidemark.llm.shared import fresh_path
+from tidemark.llm import benchmark, edit_embedding, ngram_join, packing, quality, rollups, sentence_spans, suffix_dedup, token_store, url_rules
+from tidemark.llm.shared import fresh_path, stored
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +32,43 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_removed", spans.cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under two tokenizers; the second one's counts are revised; documents under 20 words are deleted; batches come twice."""
+    counts = table(spark, sf_dir, "documents").select(
+        "source", "lang", *[rollups.count_matches(F.col("text"), p).alias(n) for n, p in (("space", "[^ \\t\\n\\x0B\\f\\r]+"), ("runs", "[A-Za-z]+"), ("words", "[A-Za-z]{2,}"))]
+    )
+    counts = stored(counts, "counts")
+    now = lambda name, tokens: [F.col("source"), F.col("lang"), F.lit(name).alias("tokenizer"), F.col(tokens).alias("tokens")]
+    old = lambda name, tokens: [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit(name).alias("old_tokenizer"), F.col(tokens).alias("old_tokens")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("old_source", "string"), ("old_lang", "string"), ("old_tokenizer", "string"), ("old_tokens", "long"))]
+    change = lambda op, rows, *columns: rows.select(F.lit(op).alias("op"), *columns)
+    short = counts.where("space < 20")
+    batches = {
+        "load space": change("insert", counts, *now("space/1", "space"), *none),
+        "load letters": change("insert", counts, *now("letters/1", "runs"), *none),
+        "revise letters": change("revise", counts, *now("letters/1", "words"), *old("letters/1", "runs")),
+        "drop short": change("delete", short, *now("space/1", "space"), *none).unionAll(change("delete", short, *now("letters/1", "words"), *none)),
+    }
+    store = rollups.Rollups(spark, fresh_path(spark, "rollups"))
+    for _ in range(2):
+        for name, changes in batches.items():
+            store.apply(name, changes)
+    store.compact()
+    return store.totals()
+
+
+OP2_SQL = """
+with c as (
+  select source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) as space,
+         len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{2,}')) as words from documents
+)
+select source, lang, 'space/1' as tokenizer, cast(count(*) as bigint) as documents, cast(sum(space) as bigint) as tokens
+from c where space >= 20 group by source, lang
+union all
+select source, lang, 'letters/1', cast(count(*) as bigint), cast(sum(words) as bigint) from c where space >= 20 group by source, lang
+"""
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -102,6 +139,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_url_filters": op5_url_filters,
@@ -112,4 +150,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL, "op5_url_filters": OP5_SQL}
