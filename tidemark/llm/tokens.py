@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -133,18 +134,23 @@ class Encoder:
             part = text.replace("\n", " ").split(" ")
             counts[k] = len(part)
             chunks += part
-        slots = list(map(self.slots.get, chunks))
-        if None in slots:
-            self.learn(list(dict.fromkeys(c for c, s in zip(chunks, slots, strict=True) if s is None)))
-            slots = list(map(self.slots.__getitem__, chunks))
-        which = np.array(slots, np.int64)
+        which = np.fromiter(map(self.slots.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            unknown = [chunks[k] for k in new.tolist()]
+            self.learn(list(dict.fromkeys(unknown)))
+            which[new] = list(map(self.slots.__getitem__, unknown))
         sizes = self.sizes[which]
         ids = self.pool[ragged(self.starts[which], sizes)]
         ends = np.cumsum(counts)
         lengths = np.add.reduceat(sizes, ends - counts) if len(texts) else np.zeros(0, np.int64)
         if end is None:
             return ids, lengths
-        return np.insert(ids, np.cumsum(lengths), end).astype(np.int32, copy=False), lengths + 1
+        closed = np.full(len(ids) + len(lengths), end, np.int32)
+        own = np.ones(len(closed), bool)
+        own[np.cumsum(lengths + 1) - 1] = False
+        closed[own] = ids
+        return closed, lengths + 1
 
 
 def encoder(path: str) -> Encoder:
