@@ -1,0 +1,65 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.errors import InvalidInput
+from tidemark.functions import format_bytes, format_rfc3339, parse_rfc3339, rfc3339, strict_base64, to_rfc3339
+from tidemark.schema import MAX_TS, MIN_TS
+from tidemark.sources import export_lines, import_lines, parse_lines, single_record
+
+GOOD = {"1970-01-01T00:00:00Z": 0, "2025-06-20T01:02:03.5+02:00": rfc3339("2025-06-19T23:02:03.5Z"), "1969-12-31T23:59:59.999999999Z": -1, "2024-02-29T12:00:00,25-00:30": rfc3339("2024-02-29T12:30:00.25Z"), "2000-01-01T00:00:00.1234567899Z": 946684800123456789}
+BAD = ["2025-06-20", "2025-06-20T01:02:03", "2025-02-30T00:00:00Z", "2025-06-20 01:02:03Z", "2025-06-20T24:00:00Z", "2025-06-20T01:60:03Z", "x", "", "2025-06-20T01:02:03Z ", "9999-01-01T00:00:00Z", "2025-06-20T01:02:03.Z"]
+
+
+def test_times(spark):
+    df = spark.createDataFrame([(t,) for t in [*GOOD, *BAD]] + [(None,)], "t string")
+    found = {r.t: r.n for r in df.select("t", parse_rfc3339(F.col("t")).alias("n")).collect()}
+    assert found == GOOD | dict.fromkeys(BAD) | {None: None}
+    for text, n in GOOD.items():
+        assert rfc3339(text) == n
+    for text in BAD:
+        with pytest.raises(ValueError):
+            rfc3339(text)
+
+
+def test_formatted_times(spark):
+    given_ = [0, 5, 100_000_000, 123_456_789, -1, -86_400_000_000_000, 1_704_067_200_000_000_000, 1_704_067_200_120_000_000]
+    rows = spark.createDataFrame([(n,) for n in given_], "n long").select("n", format_rfc3339(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in rows} == {n: to_rfc3339(n) for n in given_}
+    assert to_rfc3339(5) == "1970-01-01T00:00:00.000000005Z" and to_rfc3339(10**8) == "1970-01-01T00:00:00.1Z"
+
+
+@settings(max_examples=300)
+@given(st.integers(MIN_TS, MAX_TS))
+def test_times_go_round(n):
+    assert rfc3339(to_rfc3339(n)) == n
+
+
+def test_base64_is_strict(spark):
+    cases = {"YWJj": b"abc", "YWI=": b"ab", "YQ==": b"a", "": b"", "YXA": None, "!!!": None, "YQ=": None, "YWJj\n": None, "YW Jj": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", strict_base64(F.col("t")).alias("b")).collect()
+    assert {r.t: None if r.b is None else bytes(r.b) for r in rows} == cases
+
+
+def test_byte_sizes():
+    assert [format_bytes(n) for n in (0, 1023, 1024, 1536, 5 << 20, 3 << 30)] == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "5.0 MiB", "3.0 GiB"]
+
+
+def test_lines(spark, tmp_path):
+    good = tmp_path / "good"
+    good.write_text('{"timestamp":"2025-06-20T00:00:00.000000001Z","source":"YQ==","payload":"/w=="}\n\n  \n{"timestamp":"1970-01-01T00:00:00Z","source":"","payload":"' + "QUFB" * 60_000 + '"}\n')
+    rows = sorted(import_lines(spark, str(good)).collect())
+    assert [(r.ts, bytes(r.source_id), len(r.payload)) for r in rows] == [(0, b"", 180_000), (rfc3339("2025-06-20T00:00:00Z") + 1, b"a", 1)]
+    for line in ("{", "[]", '{"timestamp":"2025-06-20","source":"","payload":""}', '{"timestamp":"1970-01-01T00:00:00Z","source":"YQ","payload":""}', '{"source":""}', "null"):
+        bad = tmp_path / "bad"
+        bad.write_text(good.read_text() + line + "\n")
+        with pytest.raises(InvalidInput):
+            import_lines(spark, str(bad))
+
+
+def test_lines_go_round(spark):
+    df = single_record(spark, 1_234_567_890_123_456_789, b"\x00\xff", bytes(range(256)))
+    row = parse_lines(export_lines(df)).first()
+    assert (row.good, row.ts, bytes(row.source_id), bytes(row.payload)) == (True, 1_234_567_890_123_456_789, b"\x00\xff", bytes(range(256)))
+    assert export_lines(df).first().value == '{"timestamp":"2009-02-13T23:31:30.123456789Z","source":"AP8=","payload":"' + __import__("base64").b64encode(bytes(range(256))).decode() + '"}'

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.schema import MAX_TS, MIN_TS, NANOS
 
 #: Date, time, fraction and offset; an offset must be there.
-RFC3339 = r"^(\d{4}-\d{2}-\d{2})T([01]\d|2[0-3]):([0-5]\d):([0-5]\d)(?:[.,](\d+))?(?:Z|([+-])([01]\d|2[0-3]):([0-5]\d))$"
+RFC3339 = r"(\d{4}-\d{2}-\d{2})T([01]\d|2[0-3]):([0-5]\d):([0-5]\d)(?:[.,](\d+))?(?:Z|([+-])([01]\d|2[0-3]):([0-5]\d))"
 _RFC3339 = re.compile(RFC3339, re.ASCII)
 
 
 def parse_rfc3339(text: Column) -> Column:
     """Unix nanoseconds; null if text is no RFC 3339 time with an offset, or beyond 64 bits. More than nine digits of a fraction are cut."""
-    part = lambda k: F.regexp_extract(text, RFC3339, k)
+    whole_text = rf"\A{RFC3339}\z"
+    part = lambda k: F.regexp_extract(text, whole_text, k)
     whole = lambda k: F.when(part(k) == "", 0).otherwise(part(k).try_cast("long"))
     days = F.unix_date(part(1).try_cast("date")).cast("long")
     offset = (whole(7) * 3600 + whole(8) * 60) * F.when(part(6) == "-", -1).otherwise(1)
@@ -26,7 +27,7 @@ def parse_rfc3339(text: Column) -> Column:
     limit = MAX_TS // NANOS
     # just inside the limits, so that the product never overflows
     fits = seconds.between(-limit, limit - 1)
-    return F.when(text.rlike(RFC3339) & days.isNotNull() & fits, F.when(fits, seconds).otherwise(0) * F.lit(NANOS) + fraction)
+    return F.when(text.rlike(whole_text) & days.isNotNull() & fits, F.when(fits, seconds).otherwise(0) * F.lit(NANOS) + fraction)
 
 
 def format_rfc3339(ts: Column) -> Column:
@@ -44,13 +45,13 @@ def format_rfc3339(ts: Column) -> Column:
 
 def strict_base64(text: Column) -> Column:
     """Bytes of padded standard base64; null for anything else (also unpadded). An empty text is no bytes."""
-    good = text.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    good = text.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")
     return F.when(good, F.unbase64(F.when(good, text).otherwise("")))
 
 
 def rfc3339(text: str) -> int:
     """Unix nanoseconds of one time, as parse_rfc3339."""
-    m = _RFC3339.match(text)
+    m = _RFC3339.fullmatch(text)
     if not m:
         raise ValueError(f"not an RFC 3339 time: {text!r}")
     days = date.fromisoformat(m[1]).toordinal() - date(1970, 1, 1).toordinal()

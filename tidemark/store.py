@@ -58,8 +58,8 @@ class Store:
     def append(self, records: DataFrame, now: int, batch_id: str | None = None, on_late: str = "drop") -> int:
         """Write records in one commit; how many were let in.
 
-        In strict mode late ones are left out and counted, or, with on_late "raise", nothing is written and
-        LateArrival raised. A batch_id that was committed before makes this do nothing and return 0. A null in
+        In strict mode late ones are left out and counted, or, with on_late "raise", LateArrival is raised and
+        nothing written. A batch_id that was committed before makes this do nothing and return 0. A null in
         a record raises, and nothing is written.
         """
         self._open()
@@ -67,19 +67,16 @@ class Store:
             raise ValueError("on_late is drop or raise")
         if batch_id is not None and batch_id in self.log.snapshot().batches:
             return 0
-        seen = Observation()
         checked = admission.require_records(records)
-        is_late = admission.late(now, self.options.late_window) if self.options.late_mode == STRICT else F.lit(False)
-        # one pass over the input counts what is late and what is let in
-        watched = checked.withColumn("_late", is_late).observe(
-            seen, F.count(F.when(F.col("_late"), 1)).alias("late"), F.count(F.when(~F.col("_late"), 1)).alias("kept"), F.sum(F.when(~F.col("_late"), record_size())).alias("bytes")
-        )
-        added = self.write(watched.where(~F.col("_late")).drop("_late"))
-        counts = seen.get
-        if counts["late"] and on_late == "raise":
-            self.discard([e.path for e in added])
-            self.metrics.add("late_arrivals", counts["late"])
-            raise LateArrival(f"{counts['late']} records are late")
+        late = 0
+        if self.options.late_mode == STRICT:
+            # reads no column but ts
+            late = admission.rejected(records.select("ts"), now, self.options).count()
+            if late and on_late == "raise":
+                self.metrics.add("late_arrivals", late)
+                raise LateArrival(f"{late} records are late")
+        seen = Observation()
+        added = self.write(admission.admitted(checked, now, self.options), seen=seen)
         if added or batch_id is not None:
             after = self.log.commit("append", added, [], batch_id)
             if after is None:  # another writer was first with this batch
@@ -88,14 +85,14 @@ class Store:
             self._gauge(after)
         kept = sum(e.record_count for e in added)
         self.metrics.add("appends", kept)
-        self.metrics.add("append_bytes", counts["bytes"] or 0)
-        self.metrics.add("late_arrivals", counts["late"])
+        self.metrics.add("append_bytes", seen.get["bytes"] or 0)
+        self.metrics.add("late_arrivals", late)
         self.metrics.add("memtable_flushes", 1 if added else 0)
         self.metrics.add("bytes_flushed", sum(e.size_bytes for e in added))
         return kept
 
-    def write(self, records: DataFrame, split: dict[int, int] | None = None) -> list[FileEntry]:
-        """Data files with these records, not yet committed.
+    def write(self, records: DataFrame, split: dict[int, int] | None = None, seen: Observation | None = None) -> list[FileEntry]:
+        """Data files with these records, not yet committed. seen gets their bytes.
 
         Rows are dealt by ranges of (window, ts), so a window with most of the rows is written by many tasks,
         and each file covers a narrow range of time. With split, each window makes that many files instead, of
@@ -109,10 +106,15 @@ class Store:
             # a stretch's number goes by hundredths of a millionth of the window, so that the product stays within 64 bits
             place = F.call_function("div", F.col("ts") - F.col("part_start"), F.lit(max(1, duration // 100_000_000)).cast("long"))
             stretch = F.call_function("div", place * F.coalesce(F.create_map(*several)[F.col("part_start")], F.lit(1)), F.lit(duration // max(1, duration // 100_000_000) + 1).cast("long")) if several else F.lit(0)
-            dealt = dealt.repartition(sum(split.values()), F.col("part_start"), stretch)
+            dealt = dealt.withColumn("stretch", stretch).repartition(sum(split.values()), "part_start", "stretch")
         else:
             dealt = dealt.repartitionByRange("part_start", "ts")
-        writer = dealt.sortWithinPartitions("part_start", "ts", "source_id").write.partitionBy("part_start")
+        folders = ["part_start", "stretch"] if split else ["part_start"]
+        placed = dealt.sortWithinPartitions(*folders, "ts", "source_id")
+        if seen:
+            # behind the shuffle, as the choice of ranges reads what is before it once more
+            placed = placed.observe(seen, F.sum(record_size()).alias("bytes"))
+        writer = placed.write.partitionBy(*folders)
         writer.options(**self.options.writer_options()).parquet(f"{self.files.root}/{folder}")
         written = self.spark.read.schema("ts long").parquet(f"{self.files.root}/{folder}") if any(n.endswith(".parquet") for n, _, _ in self.files.walk(folder)) else None
         if written is None:
