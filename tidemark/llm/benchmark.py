@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -126,7 +126,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str
     blocks = max(1, -(-total // BLOCK))
     names = [c for c in columns if c not in ("n_words", "spans", "item_ids", "n_hit", "_cut")]
     # the same rows get the same number in each pass, as files are read in the same splits
-    numbered = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.struct(*names).alias("_all"))
+    numbered = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.struct(*names).alias("_all"), F.monotonically_increasing_id().alias("row"))
     passes = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about BLOCK bytes
@@ -160,16 +160,14 @@ def _search(numbered: DataFrame, shared: Broadcast, cut: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, windows, owners = shared.value
-        row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "_text", SHARD):
             texts = batch.column(0).to_pylist()
             counts, found = search_shard(texts, vocabulary, windows, owners)
             none: tuple[list, list] = ([], [])
             hits = [found.get(k, none) for k in range(len(counts))]
             cuts = [cut_words(t, h[0]) if cut and h[0] else None for t, h in zip(texts, hits, strict=True)]
-            columns = [pa.array(np.arange(row, row + len(counts))), pa.array(counts, pa.int64()), pa.array([h[0] for h in hits], _SPAN), pa.array([h[1] for h in hits], pa.list_(pa.string())), pa.array(cuts, pa.string())]
+            columns = [batch.column(2), pa.array(counts, pa.int64()), pa.array([h[0] for h in hits], _SPAN), pa.array([h[1] for h in hits], pa.list_(pa.string())), pa.array(cuts, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=[*_ARROW.names, "_all"])
-            row += len(counts)
 
     return numbered.mapInArrow(run, StructType.fromDDL(SCHEMA).add("_all", kind))
 

@@ -55,8 +55,11 @@ def _rows(codes: np.ndarray) -> np.ndarray:
     return _CLASS[codes]
 
 
-def walk(codes: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The step at which each character is first written, of texts end to end that begin at the given steps, and the step after each text."""
+def walk(codes: np.ndarray, sizes: np.ndarray, begin: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The step at which each character is first written, of texts end to end that begin at the given steps, and the step after each text.
+
+    With another shift the walk goes by other bits.
+    """
     rows = _rows(codes)
     steps = np.zeros(len(codes), np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -69,7 +72,7 @@ def walk(codes: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> tuple[np.nd
             break
         now, here = step[:m], at[:m]
         steps[here] = now
-        now += _WAIT[rows[here] + (now & (PERIOD - 1))]
+        now += _WAIT[rows[here] + (now + shift & (PERIOD - 1))]
         now += 1
         here += 1
         done += 1
@@ -78,7 +81,7 @@ def walk(codes: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> tuple[np.nd
         j, written = int(step[k]), []
         for row in rows[first:last].tolist():
             written.append(j)
-            j += _WAITS[row + (j & 32767)] + 1
+            j += _WAITS[row + (j + shift & 32767)] + 1
         steps[first:last] = written
         step[k] = j
     ends = np.zeros(len(sizes), np.int64)
@@ -125,11 +128,11 @@ def likeness(a: Print, b: Print) -> float:
     return float(np.clip(1 - (width * np.minimum(1, differ / np.maximum(1, kept))).sum() / long, 0, 1))
 
 
-def prints(texts: list[str]) -> tuple[list[Print], list[tuple[np.ndarray, np.ndarray]]]:
+def prints(texts: list[str], shift: int = 0) -> tuple[list[Print], list[tuple[np.ndarray, np.ndarray]]]:
     """The fingerprint of each text, and its characters with their steps (and the step after the last)."""
     codes = _codes(texts)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    steps, ends = walk(codes, sizes, np.zeros(len(texts), np.int64))
+    steps, ends = walk(codes, sizes, np.zeros(len(texts), np.int64), shift)
     cuts = np.cumsum(sizes)[:-1]
     walks = [(c, s) for c, s in zip(np.split(codes, cuts), np.split(steps, cuts), strict=True)]
     return [Print(c, s, e) for (c, s), e in zip(walks, ends.tolist(), strict=True)], [(c, np.append(s, e)) for (c, s), e in zip(walks, ends.tolist(), strict=True)]
@@ -144,12 +147,12 @@ def edited_prints(walks: list[tuple[np.ndarray, np.ndarray]], kept: list[int], t
     return [Print(np.concatenate([c[:k], d]), np.concatenate([s[:k], t]), e) for (c, s), k, d, t, e in zip(walks, kept, np.split(codes, cuts), np.split(steps, cuts), ends.tolist(), strict=True)]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shift: int = 0) -> DataFrame:
     """doc_id and fingerprint of each whole text; null counts as empty. Equal texts have equal fingerprints; repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            found, _ = prints(batch.column(1).to_pylist())
+            found, _ = prints(batch.column(1).to_pylist(), shift)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.text() for p in found], pa.string())], names=["doc_id", "fingerprint"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, fingerprint string")
@@ -159,14 +162,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 BAND_BITS, BANDS = 12, 10
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, walks: int = 4) -> DataFrame:
     """doc_id, copy_of, near: documents held against the first document of each of their buckets, as far as they are alike.
 
+    After an edit a walk falls into step again only with some chance, so several are made, by different bits;
+    the best likeness of a pair counts.
     A bucket is a band of bits of one octave. Equal fingerprints are one class, held against others once; a
     member of a class is a copy of its first document. A document in a bucket meets that bucket's first one
     only, so groups of any size make as many pairs as rows. Documents without text are not compared.
     """
-    every = fingerprints(docs).where("fingerprint <> '0.'")
+    found = _near_by(docs, similarity, 0)
+    for k in range(1, walks):
+        found = found.unionByName(_near_by(docs, similarity, k * 7919))
+    return found.groupBy("doc_id", "copy_of").agg(F.max("near").alias("near"))
+
+
+def _near_by(docs: DataFrame, similarity: float, shift: int) -> DataFrame:
+    every = fingerprints(docs, shift).where("fingerprint <> '0.'")
     first = every.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     choice = np.random.default_rng(5)
     begins = np.searchsorted(_OCTAVE, np.arange(8, OCTAVES))
