@@ -1,20 +1,51 @@
-"""Connected components of links, by alternating large and small stars."""
+"""Connected components of links: by alternating large and small stars, or in one task where they are few."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import discard, stored
 
 
+#: Up to this many links (16 bytes each) are solved in one task.
+FEW = 400_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    over: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := over.setdefault(x, x)) != x:
+            over[x] = over[y]
+            x = over[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                over[max(u, v)] = min(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(list(over), pa.int64()), pa.array([top(x) for x in over], pa.int64())], names=["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """links a, b (longs) to node, label: the smallest node of each one's component. Loops and nulls are ignored.
 
-    Each round is written to the shared folder. Rounds grow with the logarithm of a component's width.
+    Over FEW links, each round of stars is written to the shared folder; rounds grow with the logarithm of a
+    component's width.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
+    if edges.count() <= FEW:
+        return edges.repartition(1).mapInArrow(_united, "node long, label long")
+    return _stars(edges)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"))

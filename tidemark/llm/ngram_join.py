@@ -13,6 +13,7 @@ is either verified or already in one component, so components are exact.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,28 +25,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import discard, mixed, slices, stored, texts_of
+from tidemark.llm.shared import bucketed, discard, mixed, slices, stored, texts_of
 
-#: Cells of the frequency sketch, by the upper bits of a hash; ranges of hashes that the suffix filter counts.
-SKETCH_BITS, RANGES = 18, 32
+#: Cells of the frequency sketch, by the upper bits of a hash, and the parts it is added up in; ranges of hashes that the suffix filter counts.
+SKETCH_BITS, PARTS, RANGES = 24, 64, 32
 #: N-grams in more documents than this (by the sketch) are dealt out by salt as well.
 HOT = 5_000
+#: Rounds in which classes of one n-gram meet singly, before all that are left do.
+ROUNDS = 3
 SLICE = 8 << 20
 #: Entries in a worker's table of hashed words; beyond it starts anew.
 MOST_WORDS = 500_000
 
-_words: dict[bytes, int] = {}
+class _Words(dict):
+    """Numbers words as they come; hashes[number] is a word's hash."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self)
+        if k == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[k] = xxhash.xxh64_intdigest(word)
+        return k
+
+
+_words = _Words()
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
+    global _words
     if len(_words) > MOST_WORDS:
-        _words.clear()
-    found = list(map(_words.get, words))
-    if None in found:
-        for w in {w for w, h in zip(words, found, strict=True) if h is None}:
-            _words[w] = xxhash.xxh64_intdigest(w)
-        found = list(map(_words.__getitem__, words))
-    return np.array(found, np.uint64)
+        _words = _Words()
+    which = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+    return _words.hashes[which]
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -85,39 +100,51 @@ def class_of(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte, in order: as they are below 128, then by eighths of octaves."""
+    high = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128))
+    return np.minimum(255, np.where(counts < 128, counts, high)).astype(np.uint8)
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Of each document doc_id, n, class and ranges; besides, with cells and counts, the sketch of each task."""
+    """Of each document doc_id, n, class and ranges; besides, as part and cells, the sketch of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
+        names = ["doc_id", "n", "class", "ranges", "part", "cells"]
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), size)
             ranges = np.zeros((len(sets), RANGES), np.int32)
             for k, own in enumerate(sets):
                 ranges[k] = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=RANGES)
-            sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(class_of, sets), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(ranges.ravel()), RANGES).cast(pa.list_(pa.int32())), pa.nulls(len(sets), pa.list_(pa.int32())), pa.nulls(len(sets), pa.list_(pa.int64()))],
-                names=["doc_id", "n", "class", "ranges", "cells", "counts"],
-            )
-        cells = np.flatnonzero(sketch).astype(np.int32)
-        parts = [p for p in np.array_split(cells, 64) if len(p)]
-        none = lambda kind: pa.nulls(len(parts), kind)
-        yield pa.RecordBatch.from_arrays(
-            [none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.list_(pa.int32())), pa.array([p.tolist() for p in parts], pa.list_(pa.int32())), pa.array([sketch[p].tolist() for p in parts], pa.list_(pa.int64()))],
-            names=["doc_id", "n", "class", "ranges", "cells", "counts"],
-        )
-
-    return texts_of(docs).mapInArrow(run, "doc_id long, n int, class long, ranges array<int>, cells array<int>, counts array<long>")
+            cells, counts = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            sketch[cells] = np.minimum(65_535, sketch[cells].astype(np.int64) + counts)
+            rows = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(class_of, sets), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(ranges.ravel()), RANGES).cast(pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+        if sketch.any():
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, PARTS)]
+            none = [pa.nulls(PARTS, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, n int, class long, ranges array<int>, part int, cells binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
-    """Documents with an n-gram of each cell: at most 2^SKETCH_BITS rows come to the driver, whatever the input."""
-    pairs = sets.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).select("x.*")
-    rows = pairs.groupBy("cells").agg(F.sum("counts").alias("n")).toPandas()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[rows["cells"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return sketch
+    """The level of the number of documents with an n-gram of each cell: 2^SKETCH_BITS bytes, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(cells), np.uint16)
+                sums[part] = sums.get(part, 0) + own.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary())], names=["part", "cells"])
+
+    found = sets.where("part is not null").select("part", "cells").repartition("part").mapInArrow(run, "part int, cells binary").collect()
+    sketch = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint8)
+    for part, cells in found:
+        sketch[part] = np.frombuffer(cells, np.uint8)
+    return sketch.ravel()
 
 
 def _least(percent: int, n):
@@ -129,7 +156,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: Broadcast) -> Da
     """gram, salt (0 unless hot), class, n, place: the prefix n-grams of every document, rare first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        levels, hot = sketch.value, int(_level(np.array([HOT]))[0])
         for batch in slices(batches, "text", SLICE):
             seen: dict[int, np.ndarray] = {}
             for own in shingle_sets(batch.column(1).to_pylist(), size):
@@ -139,10 +166,11 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: Broadcast) -> Da
             for c, own in seen.items():
                 n = len(own)
                 first = n - int(_least(percent, n)) + 1
-                frequency = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.argsort(frequency, kind="stable")[:first]  # ties by hash, as own is sorted
+                level = levels[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.argsort(level, kind="stable")[:first]  # ties by hash, as own is sorted
                 grams.append(own[order])
-                salts.append(np.where(frequency[order] > HOT, 1 + c % np.maximum(1, frequency[order] // HOT), 0))
+                level = level[order].astype(np.int64)
+                salts.append(np.where(level >= hot, 1 + c % (1 << np.maximum(0, (level - hot) // 8 + 1)), 0))
                 classes.append(np.full(first, c, np.int64))
                 sizes.append(np.full(first, n, np.int32))
                 places.append(np.arange(first, dtype=np.int32))
@@ -154,63 +182,59 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: Broadcast) -> Da
 
 
 class _Met:
-    """Rows in order of gram, salt, n, class: drops repeated rows and n-grams of one class only, and names a row each of them meets."""
+    """Rows in order of gram, salt, n, class: drops repeated rows and those that no other row of their n-gram can link with."""
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
         self.last: pd.DataFrame | None = None  # the last row so far
         self.held = False  # it has not gone out, as its n-gram has no other row yet
-        self.pivot = (0, 0)
 
     def rows(self, df: pd.DataFrame) -> pd.DataFrame:
         if self.last is not None:
             df = pd.concat([self.last, df], ignore_index=True)
-        same_gram = ((df["gram"] == df["gram"].shift()) & (df["salt"] == df["salt"].shift())).to_numpy()
-        repeated = same_gram & (df["class"] == df["class"].shift()).to_numpy()
-        df, same_gram = df[~repeated].reset_index(drop=True), same_gram[~repeated]
+        same = ((df["gram"] == df["gram"].shift()) & (df["salt"] == df["salt"].shift())).to_numpy()
+        repeated = same & (df["class"] == df["class"].shift()).to_numpy()
+        df, same = df[~repeated].reset_index(drop=True), same[~repeated]
         known = self.last is not None and not self.held  # the first n-gram's earlier rows have gone out
-        start = np.flatnonzero(~same_gram)
+        start = np.flatnonzero(~same)
         lengths = np.diff(np.append(start, len(df)))
         run = np.repeat(np.arange(len(start)), lengths)
-        n, cls = df["n"].to_numpy(np.int64), df["class"].to_numpy()
-        # the row that each one meets: the first of its n-gram, or the first that the length filter lets through
-        pivot = np.repeat(start, lengths)
-        pivot_n, pivot_class = n[pivot], cls[pivot]
+        # n-grams with rows in other batches, or salted, are judged by having several rows only
+        open_ = (run == len(start) - 1) | (df["salt"].to_numpy() > 0)
         if known:
-            pivot_class[run == 0], pivot_n[run == 0] = self.pivot
-        need = _least(self.percent, n)
-        while True:
-            far = np.flatnonzero(pivot_n < need)
-            if not len(far):
-                break
-            new = np.ones(len(far), bool)
-            new[1:] = run[far[1:]] != run[far[:-1]]
-            lead = np.repeat(far[new], np.diff(np.append(np.flatnonzero(new), len(far))))
-            pivot_n[far], pivot_class[far] = n[lead], cls[lead]
-        df["pivot"], df["pivot_n"] = pivot_class, pivot_n
+            open_ |= run == 0
+        n, place = df["n"].to_numpy(np.int64), df["place"].to_numpy(np.int64)
+        # sizes ascend, so a neighbour is the likeliest partner by length
+        near = np.append(False, same[1:] & (n[:-1] >= _least(self.percent, n[1:])))
+        partner = near | np.append(near[1:], False)
+        # of a pair that is alone with its n-gram, positions tell whether enough can follow
+        x = start[lengths == 2]
+        both = 100 + self.percent
+        enough = -(-self.percent * (n[x] + n[x + 1]) // both)
+        fits = (place[x] <= n[x] + 2 * self.percent * -n[x] // both) & (np.minimum(n[x] - place[x], n[x + 1] - place[x + 1]) >= enough)
+        partner[x[~fits]] = partner[x[~fits] + 1] = False
         several = (lengths > 1)[run] | (df["salt"].to_numpy() > 0)
         if known:
             several[run == 0] = True
-        out = several.copy()
+        out = several & (partner | open_)
         if known:
             out[0] = False  # it went out before
         self.held = not several[-1]
-        self.last = df.iloc[-1:][["gram", "salt", "class", "n", "place"]]
-        self.pivot = (int(pivot_class[-1]), int(pivot_n[-1]))
+        self.last = df.iloc[-1:]
         return df[out]
 
 
 def _shared_grams(prefixes: DataFrame, percent: int) -> DataFrame:
-    """prefixes whose n-gram several classes have, with the class that each meets first: pivot, pivot_n."""
+    """Of prefixes the rows whose n-gram other classes have that they may link with."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met = _Met(percent)
         for df in batches:
             if len(df):
-                yield met.rows(df)
+                yield met.rows(df).drop(columns="salt")
 
     ordered = prefixes.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "class")
-    return ordered.mapInPandas(run, "gram long, salt int, class long, n int, place int, pivot long, pivot_n int")
+    return ordered.mapInPandas(run, "gram long, class long, n int, place int")
 
 
 def _cross(entries: DataFrame, percent: int) -> DataFrame:
@@ -230,13 +254,19 @@ def _cross(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("x_class").alias("a"), F.col("y_class").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, ranges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs a, b whose sets have the wanted similarity. ranges: class, n, ranges; texts: class, text."""
-    one = ranges.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("r_a"))
-    two = ranges.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("r_b"))
-    apart = F.aggregate(F.zip_with("r_a", "r_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+def _verify(pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of pairs a, b whose sets have the wanted similarity.
+
+    classes (class, n, ranges, text) is bucketed by class, so of each join only the pairs are shuffled; they
+    are the side that is hashed.
+    """
+    by = lambda side, *columns: classes.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    hashed = lambda df: df.hint("shuffle_hash")
+    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
     # |A xor B| is at least the sum of differences, and |A or B| = (n_a + n_b + |A xor B|) / 2
-    likely = pairs.join(one, "a").join(two, "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    told = hashed(by("a", "n", "ranges").join(hashed(pairs), "a"))
+    likely = by("b", "n", "ranges").join(told, "b").where(near).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text_a", SLICE // 2), "text_b", SLICE // 2):
@@ -254,7 +284,7 @@ def _verify(pairs: DataFrame, ranges: DataFrame, texts: DataFrame, size: int, pe
                     keep.append((p, q))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.int64()), pa.array([x[1] for x in keep], pa.int64())], names=["a", "b"])
 
-    rows = likely.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = by("b", "text").join(hashed(by("a", "text").join(hashed(likely), "a")), "b")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -266,16 +296,17 @@ class _Prepared:
             raise ValueError("percent must be 1 to 100, size at least 1")
         self.size, self.percent = size, percent
         sets = stored(_sets(docs, size), "sets")
-        self.sets, self.members = sets, sets.where("cells is null").select("doc_id", "n", "class")
+        self.sets, self.members = sets, sets.where("part is null").select("doc_id", "n", "class")
         sketch = docs.sparkSession.sparkContext.broadcast(_sketch(sets))
         self.entries = stored(_shared_grams(_prefixes(docs, size, percent, sketch), percent), "entries")
         candidates = self.entries.select("class").distinct()
-        known = sets.where("cells is null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
-        self.ranges = stored(known.join(candidates, "class", "left_semi"), "ranges")
-        self.texts = stored(texts_of(docs).join(self.ranges.select("class", "doc_id"), "doc_id").select("class", "text"), "texts")
+        known = sets.where("part is null and n > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
+        known = known.join(candidates, "class", "left_semi")
+        texts = texts_of(docs)
+        self.classes = bucketed(texts.join(known, F.col("doc_id") == F.col("id")).select("class", "n", "ranges", "text"), "class")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        return stored(_verify(pairs, self.ranges, self.texts, self.size, self.percent), "links")
+        return stored(_verify(pairs, self.classes, self.size, self.percent), "links")
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -296,39 +327,42 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     than all others. Other columns are not looked at; an empty table gives no rows.
     """
     p = _Prepared(docs, size, percent)
-    done = [p.entries, p.ranges, p.texts]  # tables that aren't needed once the labels are known
-    tested = pairs = stored(p.entries.where("pivot <> class").select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct(), "pairs")
-    found = p.verify(pairs)
-    done += [pairs, found]
-    turn = 0
-    while True:
+    done = [p.entries, p.classes]  # tables that aren't needed once the labels are known
+    # the share of a class's prefix that others have: the original of a group of near copies has more than its copies
+    prefix = F.col("n") + F.expr(f"({percent} * -n) div 100") + 1
+    strength = p.entries.groupBy(F.col("class").alias("c"), "n").agg(F.count("*").alias("k")).select("c", (F.col("k") / prefix).alias("strength"))
+    entries = stored(p.entries.join(strength, F.col("class") == F.col("c")).drop("c"), "entries")
+    done.append(entries)
+    open_ = entries.withColumn("label", F.col("class"))
+    found = tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    label = None
+    for turn in range(ROUNDS):
+        # each class meets the strongest member of another component, which is the n-gram's strongest or, later, picked anew
+        rank = F.struct(F.xxhash64("label", F.lit(turn)) if turn else F.lit(0), "strength", "class")
+        centre = open_.groupBy(F.col("gram").alias("g")).agg(F.max_by(F.struct("n", "class", "label", "strength"), rank).alias("c"))
+        ahead = open_.join(centre, F.col("gram") == F.col("g")).where((F.col("label") != F.col("c.label")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
+        ahead = ahead.groupBy("class").agg(F.max_by("c.class", F.struct("c.strength", "c.class")).alias("other"))
+        pairs = ahead.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        more = p.verify(pairs)
+        done += [pairs, more]
+        tested, found = (tested.unionAll(pairs), found.unionAll(more)) if turn else (pairs, more)
         label = components(found)
-        labelled = p.entries.drop("pivot", "pivot_n").distinct().join(label, p.entries["class"] == label["node"], "left").withColumn("label", F.coalesce("label", "class")).drop("node")
+        labelled = entries.join(label, entries["class"] == label["node"], "left").withColumn("label", F.coalesce("label", "class")).drop("node")
         split = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+        # entries whose n-gram members of different components have; no others can add links
         open_ = stored(labelled.join(split, "gram", "left_semi"), "open")
         done.append(open_)
-        # pairs of members of one n-gram that are in different components
         per = open_.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         size_, left = per.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0))).first()
-        if not left:
-            break
-        if left <= 20 * size_ or turn > 3:
-            more = p.verify(_cross(open_, percent).join(tested, ["a", "b"], "left_anti"))
-            done.append(more)
-            if more.head(1):
-                label = components(found.unionAll(more))
+        entries = open_.drop("label")
+        if left <= 2 * size_:
             break
-        # one member of each component meets the one before it in the same n-gram
-        some = open_.groupBy("gram", "label").agg(F.min_by(F.struct("n", "class"), F.hash("class", F.lit(turn))).alias("x"))
-        centre = some.groupBy("gram").agg(F.min("x").alias("c"))
-        ahead = some.join(centre, "gram").where("x <> c").select(F.least("x.class", "c.class").alias("a"), F.greatest("x.class", "c.class").alias("b")).distinct()
-        pairs = stored(ahead.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionAll(pairs)
-        more = p.verify(pairs)
-        done += [pairs, more]
-        if not more.head(1):
-            turn = 4
-        found, turn = found.unionAll(more), turn + 1
+    # all that are left in different components
+    more = p.verify(_cross(open_, percent).join(tested, ["a", "b"], "left_anti"))
+    done.append(more)
+    if more.head(1) or label is None:
+        label = components(found.unionAll(more))
     label = stored(label, "labels")
     discard(*done)
     named = p.members.join(label, (p.members["class"] == label["node"]) & (p.members["n"] > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("label"))

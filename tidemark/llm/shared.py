@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+#: Tables of bucketed(), by the last part of their folder.
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,13 +42,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As stored(), bucketed by a key, so that joins on it don't shuffle the table."""
+    spark = df.sparkSession
+    name, n = f"tidemark_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, "buckets")
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    _tables[path.rpartition("/")[2]] = name
+    return spark.table(name)
+
+
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of stored() frames once nothing reads them any more."""
+    """Delete the files of stored() and bucketed() frames once nothing reads them any more."""
     for df in frames:
         for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/tidemark-" in name:
                 path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+                if table := _tables.pop(name.rpartition("/")[2], None):
+                    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
