@@ -7,6 +7,7 @@ o_orderpriority). Binary columns come out as text, so that other engines compare
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,7 @@ def shown(records: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A folder for a store: in the folder that the cluster shares, or on this machine where none is set."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return f"{shared.rstrip('/')}/store-{next(tempfile._get_candidate_names())}" if shared else tempfile.mkdtemp(prefix="tidemark-")
+    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
 
 
 EVENTS = "(select epoch_ns(ts) as ts, event_type as source_id, coalesce(props, '') as payload from events)"
