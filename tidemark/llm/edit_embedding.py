@@ -224,8 +224,9 @@ def edited_with_next(docs: DataFrame, share: int = 4) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = texts_of(docs).select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), "text")
-    # the first key of each range: one row for each range
-    ranges = rows.select("key").repartitionByRange("key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
+    # the first key of each range: one row for each range, of which there are some for each task, as they are dealt by hash
+    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
     heads = np.array(sorted(k for _, k in ranges.collect()), np.int64)
     shared = spark.sparkContext.broadcast(heads)
 
