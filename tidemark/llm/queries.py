@@ -32,6 +32,33 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_removed", spans.cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP1_SQL = r"""
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), p as (
+  select doc_id, h, unnest(range(len(h) // 2 - 199)) as p from d where len(h) >= 400
+), s as (
+  select doc_id, p, md5(substr(h, 2 * p + 1, 400)) as m from p
+), many as (
+  select m from s group by m having count(*) > 1
+), starts as (
+  select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 200 then 0 else 1 end as new from s where m in (select m from many)
+), numbered as (
+  select doc_id, p, sum(new) over (partition by doc_id order by p) as span from starts
+), spans as (
+  select doc_id, span, min(p) as a, max(p) + 200 as b from numbered group by doc_id, span
+), gaps as (
+  select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as done from spans
+), kept as (
+  select g.doc_id, cast(sum(g.b - g.a) as bigint) as n_removed, count(*) as n_spans, string_agg(substr(d.h, cast(2 * g.done + 1 as bigint), cast(2 * (g.a - g.done) as bigint)), '' order by g.a) as front, max(g.b) as tail
+  from gaps as g join d on d.doc_id = g.doc_id group by g.doc_id
+)
+select d.doc_id, coalesce(k.n_removed, 0) as n_removed, coalesce(k.n_spans, 0) as n_spans,
+       sha256(unhex(case when k.doc_id is null then d.h else k.front || substr(d.h, cast(2 * k.tail + 1 as bigint)) end)) as kept_sha256
+from d left join kept as k on k.doc_id = d.doc_id
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under two tokenizers; the second one's counts are revised; documents under 20 words are deleted; batches come twice."""
     counts = table(spark, sf_dir, "documents").select(
@@ -84,6 +111,34 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP4_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), bk as (
+  select item_id, w, unnest(range(greatest(1, len(w) - 12))) as k from b where len(w) > 0
+), windows as (
+  select distinct item_id, array_to_string(w[k + 1 : k + 13], ' ') as win, len(w[k + 1 : k + 13]) as size from bk
+), sizes as (
+  select distinct size from windows
+), dk as (
+  select doc_id, w, size, unnest(range(len(w) - size + 1)) as k from d cross join sizes where len(w) >= size
+), dw as (
+  select doc_id, k, size, array_to_string(w[k + 1 : k + size], ' ') as win from dk
+), found as (
+  select dw.doc_id, dw.k, dw.size, windows.item_id from dw join windows on dw.win = windows.win and dw.size = windows.size
+), hit as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + size)) as p from found) as x group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, cast(item_id as varchar) as item from found) as y group by doc_id
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(hit.n_hit, 0) as n_hit, coalesce(items.n_items, 0) as n_items, sha256(coalesce(items.names, '')) as items_sha256,
+       coalesce(hit.n_hit, 0) > 0 and 20 * coalesce(hit.n_hit, 0) >= len(d.w) as contaminated
+from d left join hit on hit.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
+"""
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_rules.RULES)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -126,6 +181,29 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+OP8_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), k as (
+  select doc_id, w, unnest(range(greatest(1, len(w) - 2))) as k from d where len(w) > 0
+), g as (
+  select distinct doc_id, array_to_string(w[k + 1 : k + 3], ' ') as s from k
+), n as (
+  select doc_id, count(*) as n from g group by doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from g as a join g as b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), links as (
+  select x, y from pairs join n as nx on nx.doc_id = pairs.x join n as ny on ny.doc_id = pairs.y where 100 * c >= 90 * (nx.n + ny.n - c)
+), both_ways as (
+  select x, y from links union all select y as x, x as y from links
+), reach(doc_id, other) as (
+  select doc_id, doc_id as other from d union select r.doc_id, l.y as other from reach as r join both_ways as l on l.x = r.other
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id
+from d left join n on n.doc_id = d.doc_id join (select doc_id, min(other) as component_id from reach group by doc_id) as m on m.doc_id = d.doc_id
+"""
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -150,4 +228,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL, "op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": OP1_SQL,
+    "op2_token_counts": OP2_SQL,
+    "op4_decontamination": OP4_SQL,
+    "op5_url_filters": OP5_SQL,
+    "op8_ngram_jaccard_join": OP8_SQL,
+}
