@@ -171,8 +171,9 @@ def test_url_rules(spark):
         "http://a.com/en/1": ("a.com", "/en/1", "com/en/", "block"), "HTTP://www.EXAMPLE.com/en/71?q#f": ("www.example.com", "/en/71", "example.com/en/7", "allow"), "x://com/en/": ("com", "/en/", "com/en/", "block"),
         "http://notcom/en/": ("notcom", "/en/", None, "allow"), "http://a.org?x=/y://z": ("a.org", "", "org", "block"), "a.com/en/": ("", "", "", "allow"), "http://": ("", "", "", "allow"), "http://b.net/x": ("b.net", "/x", None, "allow"), "q://a#b/c": ("a", "", None, "allow"),
     }
-    pages = spark.createDataFrame([(k, u, "old") for k, u in enumerate([*cases, *cases])] + [(99, None, "old")], "page_id long, url string, verdict string")
+    pages = spark.createDataFrame([(k, u, "old") for k, u in enumerate([*cases, *cases])] + [(99, None, "old")], "page_id long, url string, verdict string").withColumn("h", F.lit(5)).withColumn("short", F.lit(6))
     rows = url_rules.judge(pages, rules).collect()
+    assert {(r.h, r.short) for r in rows} == {(5, 6)}
     assert len(rows) == 2 * len(cases) + 1
     for r in rows:
         assert (r.host, r.path, r.rule, r.verdict) == cases.get(r.url, ("", "", "", "allow")), r.url
@@ -240,7 +241,7 @@ def test_sentence_spans(spark):
     assert len(got) == len(texts) and got[0].text == texts[0] and got[1].text == texts[1] and got[5].text == got[6].text == texts[5]
     assert got[2].text == texts[2].replace(passage.replace("w", "W") + " ", "") and got[2].n_chars == len(got[2].text)
     assert len(got[4].text) < 0.4 * len(texts[4]) and got[4].text.startswith("before ") and got[4].text.endswith(" after")
-    assert got[7].text is None and got[7].n_chars is None and got[0].word == "w"
+    assert got[7].text is None and got[7].n_chars is None and (got[0].word, got[0].row) == ("w", 7)
     # of a text that repeats itself, all that isn't the first with its span goes
     assert got[len(texts) - 1].text == "one two three four five six seven. "
 

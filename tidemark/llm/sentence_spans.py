@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
     found = _spans_of(texts_of(docs, row.alias("row")), sentences, words)
     removed = _merged(_repeated(found))
     kept = docs.drop("removed").withColumn("_row", row)
-    joined = kept.join(removed, kept["_row"] == removed["row"], "left").drop("_row", "row")
+    joined = kept.join(removed, kept["_row"] == removed["row"], "left").drop(removed["row"]).drop("_row")
     hit = F.col("removed").isNotNull()
     changed = {"text": F.when(hit, _cut(F.col("text"), F.col("removed"))).otherwise(F.col("text"))}
     joined = joined.withColumns(changed)

@@ -60,5 +60,5 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         .groupBy("h", "p").agg(F.max(F.struct(size.alias("size"), F.length("rule_host").alias("host_size"), "rule_host", "rule_path", "rule_verdict")).alias("best"))
         .select("h", "p", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.rule_verdict").alias("verdict"))
     )
-    judged = pages.join(fit, (pages["host"] == fit["h"]) & (pages["path"] == fit["p"]), "left").drop("h", "p")
+    judged = pages.join(fit, (pages["host"] == fit["h"]) & (pages["path"] == fit["p"]), "left").drop(fit["h"], fit["p"])
     return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
