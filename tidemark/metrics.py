@@ -6,6 +6,7 @@ import math
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
+#: The names of counters, gauges and histograms, and the bounds that Prometheus clients use by default.
 COUNTERS = ("appends", "append_bytes", "late_arrivals", "wal_writes", "memtable_flushes", "scans", "scan_records", "sstable_reads", "sstable_skips", "compactions", "files_expired", "bytes_reclaimed", "bytes_flushed", "bytes_compacted")
 GAUGES = ("active_partitions", "sstable_files", "sstable_bytes", "retention_horizon")
 HISTOGRAMS = ("scan_duration", "compaction_duration")

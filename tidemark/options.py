@@ -12,7 +12,10 @@ CODECS = ("none", "zstd", "snappy")
 
 @dataclass(frozen=True)
 class Options:
-    """Durations are nanoseconds. partition_duration is kept in the store; the others may differ at each opening."""
+    """Durations are nanoseconds. partition_duration is kept in the store; the others may differ at each opening.
+
+    The defaults up to retention are fixed values.
+    """
 
     partition_duration: int = HOUR
     late_window: int = 300 * NANOS
