@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.fm_index import FMIndex
-from tidemark.llm.shared import ragged, slices
+from tidemark.llm.shared import begin_task, ragged, slices, small_batches
 
 #: Words: digits, letters a-z (A-Z lower-cased) and whatever isn't ASCII; all other bytes part them.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -124,6 +124,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
+    small_batches(spark)
     names = [c for c in columns if c not in ("n_words", "spans", "item_ids", "n_hit", "_cut")]
     # the same rows get the same number in each pass, as files are read in the same splits
     numbered = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.struct(*names).alias("_all"), F.monotonically_increasing_id().alias("row"))
@@ -159,6 +160,7 @@ def _search(numbered: DataFrame, shared: Broadcast, cut: bool) -> DataFrame:
     kind = numbered.schema["_all"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         vocabulary, windows, owners = shared.value
         for batch in slices(batches, "_text", SHARD):
             texts = batch.column(0).to_pylist()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import bucketed, discard, mixed, slices, stored, texts_of
+from tidemark.llm.shared import begin_task, bucketed, discard, mixed, slices, stored, texts_of
 
 #: Cells of the frequency sketch, by the upper bits of a hash, and the parts it is added up in; ranges of hashes that the suffix filter counts.
 SKETCH_BITS, PARTS, RANGES = 24, 64, 32
@@ -33,9 +33,10 @@ SKETCH_BITS, PARTS, RANGES = 24, 64, 32
 HOT = 5_000
 #: Rounds in which classes of one n-gram meet singly, before all that are left do.
 ROUNDS = 3
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Entries in a worker's table of hashed words; beyond it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
+
 
 class _Words(dict):
     """Numbers words as they come; hashes[number] is a word's hash."""
@@ -63,6 +64,11 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return _words.hashes[which]
 
 
+def _forget() -> None:
+    global _words
+    _words = _Words()
+
+
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     """Of each text, the sorted hashes of its distinct n-grams of `size` words; with fewer words, of the whole sequence."""
     flat: list[bytes] = []
@@ -106,12 +112,18 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.where(counts < 128, counts, high)).astype(np.uint8)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key: doc_id, or for a null one a hash of the text."""
+    return texts_of(docs).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Of each document doc_id, n, class and ranges; besides, as part and cells, the sketch of each task."""
+    """Of each document doc_id, key, n, class and ranges; besides, as part and cells, the sketch of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("words", _forget)
         sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
-        names = ["doc_id", "n", "class", "ranges", "part", "cells"]
+        names = ["doc_id", "key", "n", "class", "ranges", "part", "cells"]
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), size)
             ranges = np.zeros((len(sets), RANGES), np.int32)
@@ -119,14 +131,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 ranges[k] = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=RANGES)
             cells, counts = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             sketch[cells] = np.minimum(65_535, sketch[cells].astype(np.int64) + counts)
-            rows = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(class_of, sets), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(ranges.ravel()), RANGES).cast(pa.list_(pa.int32()))]
+            rows = [batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(class_of, sets), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(ranges.ravel()), RANGES).cast(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, PARTS)]
-            none = [pa.nulls(PARTS, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))]
+            none = [pa.nulls(PARTS, kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n int, class long, ranges array<int>, part int, cells binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, n int, class long, ranges array<int>, part int, cells binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -156,6 +168,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: Broadcast) -> Da
     """gram, salt (0 unless hot), class, n, place: the prefix n-grams of every document, rare first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("words", _forget)
         levels, hot = sketch.value, int(_level(np.array([HOT]))[0])
         for batch in slices(batches, "text", SLICE):
             seen: dict[int, np.ndarray] = {}
@@ -269,6 +282,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
     likely = by("b", "n", "ranges").join(told, "b").where(near).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("words", _forget)
         for batch in slices(slices(batches, "text_a", SLICE // 2), "text_b", SLICE // 2):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             # rows that meet the same text often follow each other: each text of a slice is taken apart once
@@ -300,10 +314,9 @@ class _Prepared:
         sketch = docs.sparkSession.sparkContext.broadcast(_sketch(sets))
         self.entries = stored(_shared_grams(_prefixes(docs, size, percent, sketch), percent), "entries")
         candidates = self.entries.select("class").distinct()
-        known = sets.where("part is null and n > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
+        known = sets.where("part is null and n > 0").groupBy("class").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
         known = known.join(candidates, "class", "left_semi")
-        texts = texts_of(docs)
-        self.classes = bucketed(texts.join(known, F.col("doc_id") == F.col("id")).select("class", "n", "ranges", "text"), "class")
+        self.classes = bucketed(_keyed(docs).join(known, F.col("key") == F.col("id")).select("class", "n", "ranges", "text"), "class")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         return stored(_verify(pairs, self.classes, self.size, self.percent), "links")
@@ -368,7 +381,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = p.members.join(label, (p.members["class"] == label["node"]) & (p.members["n"] > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("label"))
     first = named.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("first"))
     found_in = named.join(first, named["label"] == first["l"], "left")
-    return found_in.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    result = found_in.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    result = stored(result, "groups")
+    discard(p.sets, label)
+    return result
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.shared import mixed, slices, text_bytes, texts_of
+from tidemark.llm.shared import begin_task, mixed, slices, small_batches, text_bytes, texts_of
 
 PASSAGE = 48
 SLICE = 2 << 20
@@ -201,10 +201,12 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size that doesn't depend on the documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in slices(batches, "_text", SLICE):
             found = shared.value.score(*text_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.float64)), batch.column(1)], names=["_score", "_all"])
 
+    small_batches(docs.sparkSession)
     docs = docs.drop(column)
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.struct("*").alias("_all"))
     scored = rows.mapInArrow(run, StructType.fromDDL("_score double").add("_all", rows.schema["_all"].dataType))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Rolling, mixed, slices, text_bytes, texts_of
+from tidemark.llm.shared import Rolling, begin_task, mixed, slices, text_bytes, texts_of
 
 SENTENCES, WORDS = 3, 20
 LONG, EVERY = 16, 6
@@ -77,6 +77,7 @@ def _spans_of(rows: DataFrame, sentences: int, words: int) -> DataFrame:
     """Spans of rows (doc_id, text, row); later: not the first with its hash in its slice, so not the first of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in slices(batches, "text", SLICE):
             found = spans(*text_bytes(batch.column(1)), sentences, words)
             text = found.pop("text")

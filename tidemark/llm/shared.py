@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +63,30 @@ def discard(*frames: DataFrame) -> None:
                     df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def begin_task(name: str = "", clear: Callable[[], None] | None = None) -> None:
+    """At the start of a task's Python code: workers live on, so drop the tables that other operators keep in them.
+
+    Operator `name` keeps its own until another begins; clear() then drops them.
+    """
+    for other in [x for x in _kept if x != name]:
+        _kept.pop(other)()
+    if clear:
+        _kept[name] = clear
+    pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of 8 MB, unless the session says otherwise: each task holds several copies of one."""
+    if not spark._jsparkSession.sessionState().conf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text as string, null text as empty; other columns only by name."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Rolling, mixed, ragged, slices, stored, text_bytes, texts_of
+from tidemark.llm.shared import Rolling, begin_task, mixed, ragged, slices, stored, text_bytes, texts_of
 
 GRAM = 40
 SLICE = 2 << 20
@@ -70,6 +70,7 @@ def _runs_of(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Runs of rows (doc_id, text, row). Of equal contexts in a slice one goes on (the first), with several set; the others are settled there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in slices(batches, "text", SLICE):
             found = runs(*text_bytes(batch.column(1)), length)
             text = found.pop("text")

@@ -14,12 +14,12 @@ from itertools import repeat
 
 import numpy as np
 
-from tidemark.llm.shared import ragged
+from tidemark.llm.shared import begin_task, ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bounds of a worker's tables: chunks, words and ids in them; beyond any of them it goes back to its first BASE chunks.
-MOST_CHUNKS, MOST_WORDS, MOST_IDS, BASE = 800_000, 600_000, 8_000_000, 250_000
+MOST_CHUNKS, MOST_WORDS, MOST_IDS, BASE = 250_000, 200_000, 3_000_000, 100_000
 
 #: What other texts have; the lower case and normal form of plain ones are the same in any Unicode version.
 _NOT_PLAIN = re.compile("[^\n\x20-\x7e\u00c0-\u012f\u0131-\u017f]")
@@ -155,6 +155,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
+    begin_task("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
