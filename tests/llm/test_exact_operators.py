@@ -299,6 +299,13 @@ def test_similarity_groups(spark, monkeypatch, size, percent, rounds):
     assert got == dict(enumerate(expect))
 
 
+def test_documents_without_id_link_others(spark):
+    w = [f"w{k}" for k in range(100)]
+    texts = [" ".join(w), " ".join([*w[:99], "x"]), " ".join([*w[:98], "y", "x"]), "other text here"]
+    rows = ngram_join.groups(docs_of(spark, texts, [5, None, 3, None]), 3, 96).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 3), (3, 3), (5, 3)]
+
+
 def test_similarity_links_are_all_found(spark):
     texts = near_texts(random.Random(9), 50)
     _, expect = groups_by_force(texts, 3, 85)
