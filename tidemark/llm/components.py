@@ -35,14 +35,15 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """links a, b (longs) to node, label: the smallest node of each one's component. Loops and nulls are ignored.
 
-    Over FEW links, each round of stars is written to the shared folder; rounds grow with the logarithm of a
+    The result is stored. That of FEW links at most is small enough to be broadcast (two rows of 16 bytes for
+    each link) and says so. Over FEW, each round of stars is written to the shared folder; rounds grow with the logarithm of a
     component's width.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
-    if edges.count() <= FEW:
-        return edges.repartition(1).mapInArrow(_united, "node long, label long")
-    return _stars(edges)
+    few = edges.count() <= FEW
+    found = stored(edges.repartition(1).mapInArrow(_united, "node long, label long") if few else _stars(edges), "labels")
+    return F.broadcast(found) if few else found
 
 
 def _stars(edges: DataFrame) -> DataFrame:

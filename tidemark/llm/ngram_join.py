@@ -344,7 +344,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # the share of a class's prefix that others have: the original of a group of near copies has more than its copies
     prefix = F.col("n") + F.expr(f"({percent} * -n) div 100") + 1
     strength = p.entries.groupBy(F.col("class").alias("c"), "n").agg(F.count("*").alias("k")).select("c", (F.col("k") / prefix).alias("strength"))
-    entries = stored(p.entries.join(strength, F.col("class") == F.col("c")).drop("c"), "entries")
+    # by n-gram, so that the rounds shuffle none of it
+    entries = bucketed(p.entries.join(strength, F.col("class") == F.col("c")).drop("c"), "gram")
     done.append(entries)
     open_ = entries.withColumn("label", F.col("class"))
     found = tested = docs.sparkSession.createDataFrame([], "a long, b long")
@@ -358,13 +359,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         pairs = ahead.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         more = p.verify(pairs)
-        done += [pairs, more]
+        done += [pairs, more, *([label] if label is not None else [])]
         tested, found = (tested.unionAll(pairs), found.unionAll(more)) if turn else (pairs, more)
         label = components(found)
         labelled = entries.join(label, entries["class"] == label["node"], "left").withColumn("label", F.coalesce("label", "class")).drop("node")
         split = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
         # entries whose n-gram members of different components have; no others can add links
-        open_ = stored(labelled.join(split, "gram", "left_semi"), "open")
+        open_ = bucketed(labelled.join(split.hint("shuffle_hash"), "gram", "left_semi"), "gram", dealt=True)
         done.append(open_)
         per = open_.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         size_, left = per.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0))).first()
@@ -375,8 +376,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = p.verify(_cross(open_, percent).join(tested, ["a", "b"], "left_anti"))
     done.append(more)
     if more.head(1) or label is None:
+        done += [label] if label is not None else []
         label = components(found.unionAll(more))
-    label = stored(label, "labels")
     discard(*done)
     named = p.members.join(label, (p.members["class"] == label["node"]) & (p.members["n"] > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("label"))
     first = named.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("first"))

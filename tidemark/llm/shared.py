@@ -42,12 +42,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """As stored(), bucketed by a key, so that joins on it don't shuffle the table."""
+def bucketed(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
+    """As stored(), bucketed by a key, so that joins and groups by it don't shuffle the table. dealt: df already is by the same buckets."""
     spark = df.sparkSession
     name, n = f"tidemark_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, "buckets")
-    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
     _tables[path.rpartition("/")[2]] = name
     return spark.table(name)
 
