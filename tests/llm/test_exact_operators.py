@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import benchmark, edit_embedding, fm_index, ngram_join, packing, rollups, sentence_spans, suffix_dedup, token_store, url_rules
 from tidemark.llm.components import _stars, components
-from tidemark.llm.queries import TOKENIZER
+from tidemark.llm.queries import QUERIES, TOKENIZER
 from tidemark.llm.shared import fresh_path, stored
 from tidemark.llm.tokens import encoder
 
@@ -72,6 +72,16 @@ def test_suffix_dedup_of_repeated_rows_and_nothing(spark):
     assert suffix_dedup.dedup(docs_of(spark, []), 25, "none").count() == 0
 
 
+def test_suffix_dedup_query_has_the_size_of_each_text(spark, tmp_path):
+    passage = "é😀" + "0123456789" * 30
+    texts = [passage + "a", "b" + passage, "short", "", None]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert rows[0].__fields__ == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    expect = removed_by_force(texts, 200, "none")
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in rows} == {k: (len((t or "").encode()), gone, hashlib.sha256(kept).hexdigest()) for k, (t, (kept, gone)) in enumerate(zip(texts, expect, strict=True))}
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)

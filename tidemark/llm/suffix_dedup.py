@@ -363,7 +363,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "first") -> t
 
 
 def dedup(docs: DataFrame, length: int = 200, keep: str = "first") -> DataFrame:
-    """doc_id, kept (binary: the UTF-8 bytes that stay), n_removed and spans (removed, merged, in bytes) for every row of docs.
+    """doc_id, n_bytes, kept (binary: the UTF-8 bytes that stay), n_removed and spans (removed, merged, in bytes) for every row of docs.
+
+    n_bytes is the length of the input's UTF-8 bytes: those of kept and n_removed together.
 
     keep "first": a string of `length` bytes stays where it starts first (in order of doc_id, null last, then
     place); bytes of later ones go. keep "none": all of them go. Strings never cross documents and are judged on
@@ -375,8 +377,9 @@ def dedup(docs: DataFrame, length: int = 200, keep: str = "first") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed = [], []
+            sizes, kept, removed = [], [], []
             for text, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sizes.append(len(text))
                 parts, done, gone = [], 0, 0
                 for s in own or ():
                     parts.append(text[done : s["start"]])
@@ -384,7 +387,7 @@ def dedup(docs: DataFrame, length: int = 200, keep: str = "first") -> DataFrame:
                     gone += s["stop"] - s["start"]
                 kept.append(b"".join([*parts, text[done:]]) if own else text)
                 removed.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), batch.column(2)], names=["doc_id", "kept", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), batch.column(2)], names=["doc_id", "n_bytes", "kept", "n_removed", "spans"])
 
     joined = rows.join(spans.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, kept binary, n_removed long, spans array<struct<start: long, stop: long>>")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, n_removed long, spans array<struct<start: long, stop: long>>")
