@@ -238,6 +238,24 @@ def test_near_copies_are_found(spark):
     assert all(a % 40 == b % 40 for a, b in found)
 
 
+def test_near_copies_are_found_among_many_unrelated_documents(spark, monkeypatch):
+    monkeypatch.setattr(edit_embedding, "BAND_BITS", 5)  # at the fewest, for 100 times as many documents as a band has values
+    rng = random.Random(16)
+    say = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(45))
+    base = [say() for _ in range(3_200)]
+    chosen = range(2_900, 3_200)
+    copies = [base[k][:150] + "#" + base[k][151:] for k in chosen]
+    alike = {}
+    for shift in range(0, 4 * 7919, 7919):
+        a, b = (edit_embedding.prints(t, shift)[0] for t in ([base[k] for k in chosen], copies))
+        for k, p, q in zip(chosen, a, b, strict=True):
+            alike[k] = max(alike.get(k, 0), edit_embedding.likeness(p, q))
+    expect = {(len(base) + i, k) for i, k in enumerate(chosen) if alike[k] >= 0.8}
+    found = {(r.doc_id, r.copy_of) for r in edit_embedding.near_copies(docs_of(spark, base + copies)).collect()}
+    assert len(expect) > 200 and len(expect & found) >= 0.98 * len(expect)
+    assert all(b == a - 300 for a, b in found if a >= len(base)) and all(a >= len(base) for a, _ in found)
+
+
 # sentence spans
 
 

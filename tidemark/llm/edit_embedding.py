@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import mixed, slices, texts_of
+from tidemark.llm.shared import mixed, slices, stored, texts_of
 
 SAMPLES = 128
 OCTAVES = 32
@@ -158,18 +158,23 @@ def fingerprints(docs: DataFrame, shift: int = 0) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-#: Bands of the near-copy search: bits of a band, and bands in each octave.
+#: Bands of the near-copy search: the fewest bits of a band, and bands in each octave.
 BAND_BITS, BANDS = 12, 10
+#: Steps before which texts of as many steps meet, and a logarithm of how many such texts there are.
+SHORT, SHORT_LOG = 256, 6
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, walks: int = 4) -> DataFrame:
-    """doc_id, copy_of, near: documents held against the first document of each of their buckets, as far as they are alike.
+    """doc_id, copy_of, near: documents held against earlier ones of each of their buckets, as far as they are alike.
 
     After an edit a walk falls into step again only with some chance, so several are made, by different bits;
     the best likeness of a pair counts.
-    A bucket is a band of bits of one octave. Equal fingerprints are one class, held against others once; a
-    member of a class is a copy of its first document. A document in a bucket meets that bucket's first one
-    only, so groups of any size make as many pairs as rows. Documents without text are not compared.
+    A bucket is a band of bits of one octave; bands have more bits the more fingerprints there are, so that few
+    unrelated documents share one. Equal fingerprints are one class, held against others once; a member of a
+    class is a copy of its first document. In a bucket each document meets the first one of every group of
+    copies so far, and the other members of groups whose first one it isn't like: all pairs are either verified
+    or of one group there. So groups of copies make as many pairs as rows, and unrelated ones hide nothing.
+    Texts of under SHORT steps meet those of as many steps. Documents without text are not compared.
     """
     found = _near_by(docs, similarity, 0)
     for k in range(1, walks):
@@ -177,37 +182,112 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, walks: int = 4) -> Dat
     return found.groupBy("doc_id", "copy_of").agg(F.max("near").alias("near"))
 
 
+class _Bucket:
+    """The documents of a bucket so far, in groups: `packed` has their bits, 16 bytes for each octave, `valid` which of them there are."""
+
+    def __init__(self) -> None:
+        self.docs: list[int] = []
+        self.prints: list[Print] = []
+        self.group: list[int] = []
+        self.firsts: list[int] = []
+        self.packed = self.valid = np.zeros((0, _SLOTS // 64), np.uint64)
+
+    def add(self, doc: int, print_: Print, packed: np.ndarray, valid: np.ndarray, group: int) -> None:
+        n = len(self.docs)
+        if n == len(self.packed):
+            more = np.zeros((max(4, n), _SLOTS // 64), np.uint64)
+            self.packed, self.valid = np.concatenate([self.packed, more]), np.concatenate([self.valid, more])
+        self.packed[n], self.valid[n] = packed, valid
+        self.docs.append(doc)
+        self.prints.append(print_)
+        if group == len(self.firsts):
+            self.firsts.append(n)
+        self.group.append(group)
+
+    def alike(self, print_: Print, packed: np.ndarray, valid: np.ndarray, some: np.ndarray, similarity: float) -> Iterator[tuple[int, float]]:
+        """Those of `some` that are alike, with their likeness. Most are passed over by the bits of whole octaves."""
+        both = self.valid[some] & valid
+        differ = np.bitwise_count((self.packed[some] ^ packed) & both).reshape(len(some), OCTAVES + 1, 2).sum(axis=2, dtype=np.int64)
+        kept = np.bitwise_count(both).reshape(len(some), OCTAVES + 1, 2).sum(axis=2, dtype=np.int64)
+        # differences in whole octaves alone tell more likeness than there is
+        whole = kept == _KEPT
+        longest = np.maximum(print_.end, np.array([self.prints[k].end for k in some.tolist()]))
+        width = np.clip(longest[:, None] - _BEGIN, 0, _WIDTH)
+        least = (width * whole * np.minimum(1, 2 * differ / _KEPT)).sum(axis=1)
+        for k in some[1 - least / longest >= similarity - 1e-6].tolist():
+            near = likeness(self.prints[k], print_)
+            if near >= similarity:
+                yield k, near
+
+    def meet(self, doc: int, text: str, similarity: float) -> Iterator[tuple[int, int, float]]:
+        print_ = Print.read(text)
+        kept = len(print_.bits)
+        bits, there = np.zeros(_SLOTS, np.uint8), np.zeros(_SLOTS, np.uint8)
+        bits[_SLOT[:kept]], there[_SLOT[:kept]] = print_.bits, 1
+        packed, valid = (np.packbits(x).view(np.uint64) for x in (bits, there))
+        joined: set[int] = set()
+        if self.docs:
+            for k, near in self.alike(print_, packed, valid, np.array(self.firsts), similarity):
+                joined.add(self.group[k])
+                yield doc, self.docs[k], near
+            rest = np.array([k for k, g in enumerate(self.group) if g not in joined and self.firsts[g] != k], np.int64) if len(self.docs) > len(self.firsts) else []
+            if len(rest):
+                for k, near in self.alike(print_, packed, valid, rest, similarity):
+                    if self.group[k] not in joined:
+                        joined.add(self.group[k])
+                        yield doc, self.docs[k], near
+        into = min(joined, default=len(self.firsts))
+        self.add(doc, print_, packed, valid, into)
+
+
+#: Places of kept bits in rows of 128 for each octave, steps kept of each octave, its steps and the first of them.
+_SLOTS = 128 * (OCTAVES + 1)
+_KEPT = np.bincount(_OCTAVE)
+_SLOT = 128 * _OCTAVE + np.arange(len(_STEPS)) - np.searchsorted(_OCTAVE, _OCTAVE)
+_WIDTH = np.append(1, 1 << np.arange(OCTAVES)).astype(np.float64)
+_BEGIN = np.append(0, _WIDTH[1:])
+
+
 def _near_by(docs: DataFrame, similarity: float, shift: int) -> DataFrame:
-    every = fingerprints(docs, shift).where("fingerprint <> '0.'")
+    every = stored(fingerprints(docs, shift).where("fingerprint <> '0.'"), "prints")
     first = every.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    log = int(first.count()).bit_length()
+    size, short = min(SAMPLES, max(BAND_BITS, log + 2)), max(0, log - SHORT_LOG)
     choice = np.random.default_rng(5)
     begins = np.searchsorted(_OCTAVE, np.arange(8, OCTAVES))
-    picks = {o + 8: [np.sort(choice.choice(SAMPLES, BAND_BITS, replace=False)) + b for _ in range(BANDS)] for o, b in enumerate(begins.tolist())}
+    picks = {o + 8: [np.sort(choice.choice(SAMPLES, size, replace=False)) + b for _ in range(BANDS)] for o, b in enumerate(begins.tolist())}
+    orders = [choice.permutation(SHORT) for _ in range(BANDS if short else 1)]
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 p = Print.read(text)
-                if p.end < 256:
-                    rows.append((f"{p.end:x}", doc, text))
+                if p.end < SHORT:
+                    rows += [(f"{p.end:x}.{k}." + p.bits[c[c < len(p.bits)][:short]].tobytes().hex()[1::2], doc, text) for k, c in enumerate(orders)]
                 for o, choices in picks.items():
                     if 1 << o <= p.end:
-                        rows += [(f"{o}.{k}." + "".join(map(str, p.bits[c])), doc, text) for k, c in enumerate(choices)]
+                        rows += [(f"{o}-{k}-" + p.bits[c].tobytes().hex()[1::2], doc, text) for k, c in enumerate(choices)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))], names=["bucket", "doc", "print"])
 
-    found = first.select("fingerprint", "first").mapInArrow(bands, "bucket string, doc long, print string")
-    lead = found.groupBy(F.col("bucket").alias("b")).agg(F.min(F.struct("doc", "print")).alias("lead"))
-    pairs = found.join(lead, found["bucket"] == lead["b"]).where(F.col("doc") != F.col("lead.doc")).select("doc", "print", F.col("lead.doc").alias("copy_of"), F.col("lead.print").alias("other")).distinct()
-
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, alone = None, _Bucket(), None
         for batch in batches:
-            near = [likeness(Print.read(a), Print.read(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(near, pa.float64())], names=["doc_id", "copy_of", "near"])
-            yield out.filter(pa.array([x >= similarity for x in near], pa.bool_()))
+            out: list[tuple[int, int, float]] = []
+            for name, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != bucket:
+                    bucket, held, alone = name, _Bucket(), (doc, text)  # most buckets have one document, whose bits nobody needs
+                    continue
+                if alone:
+                    out += held.meet(*alone, similarity)
+                    alone = None
+                out += held.meet(doc, text, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "copy_of", "near"])
 
+    found = first.select("fingerprint", "first").mapInArrow(bands, "bucket string, doc long, print string")
+    pairs = found.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(verified, "doc_id long, copy_of long, near double")
     same = every.join(first, "fingerprint").where(F.col("doc_id") != F.col("first")).select("doc_id", F.col("first").alias("copy_of"), F.lit(1.0).alias("near"))
-    return pairs.mapInArrow(verified, "doc_id long, copy_of long, near double").unionByName(same)
+    return pairs.unionByName(same)
 
 
 _LOWEST = -(1 << 63)
