@@ -355,6 +355,20 @@ def test_one_of_each_group_stays(spark):
     assert ngram_join.keep_one(docs_of(spark, [])).count() == 0 and ngram_join.keep_one(df).columns == df.columns
 
 
+def test_documents_that_share_an_id_stay_unless_they_link(spark):
+    rng = random.Random(17)
+    say = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    cases = [(None, a), (None, b), (None, b), (None, c + " more"), (5, c), (6, d), (6, e), (6, d + " more"), (None, None), (None, ""), (0, a + " more"), (None, e)]
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs_of(spark, [t for _, t in cases], [k for k, _ in cases])).collect()]
+    of = lambda *texts: sum(t in texts for _, t in kept)
+    assert (of(b), of(c, c + " more"), of(d, d + " more"), of(None), of("")) == (1, 1, 1, 1, 1) and len(kept) == 7
+    assert (0, a + " more") in kept and (5, c) in kept and (6, e) in kept
+    lone = [(None, a), (None, c + " more"), (5, c)]  # one row without id stands alone, one is a copy
+    kept = {(r.doc_id, r.text) for r in ngram_join.keep_one(docs_of(spark, [t for _, t in lone], [k for k, _ in lone])).collect()}
+    assert kept == {(None, a), (5, c)}
+
+
 def test_components(spark):
     rng = random.Random(11)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + k, 301 + k) for k in range(40)]

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -113,17 +113,22 @@ def _level(counts: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and key: doc_id, or for a null one a hash of the text."""
-    return texts_of(docs).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    """doc_id, text, key: doc_id, or for a null one a hash of the text, and row: a hash of both."""
+    return texts_of(docs, _row().alias("row")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+
+
+def _row() -> Column:
+    """A hash of doc_id and text; ids of null and 0 differ."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce("text", F.lit("")))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Of each document doc_id, key, n, class and ranges; besides, as part and cells, the sketch of each task."""
+    """Of each document doc_id, key, row, n, class and ranges; besides, as part and cells, the sketch of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("words", _forget)
         sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
-        names = ["doc_id", "key", "n", "class", "ranges", "part", "cells"]
+        names = ["doc_id", "key", "row", "n", "class", "ranges", "part", "cells"]
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), size)
             ranges = np.zeros((len(sets), RANGES), np.int32)
@@ -131,14 +136,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 ranges[k] = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=RANGES)
             cells, counts = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             sketch[cells] = np.minimum(65_535, sketch[cells].astype(np.int64) + counts)
-            rows = [batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(class_of, sets), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(ranges.ravel()), RANGES).cast(pa.list_(pa.int32()))]
+            rows = [batch.column(0), batch.column(3), batch.column(2), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(class_of, sets), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(ranges.ravel()), RANGES).cast(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, PARTS)]
-            none = [pa.nulls(PARTS, kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))]
+            none = [pa.nulls(PARTS, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, key long, n int, class long, ranges array<int>, part int, cells binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, row long, n int, class long, ranges array<int>, part int, cells binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -310,7 +315,7 @@ class _Prepared:
             raise ValueError("percent must be 1 to 100, size at least 1")
         self.size, self.percent = size, percent
         sets = stored(_sets(docs, size), "sets")
-        self.sets, self.members = sets, sets.where("part is null").select("doc_id", "n", "class")
+        self.sets, self.members = sets, sets.where("part is null").select("doc_id", "row", "n", "class")
         sketch = docs.sparkSession.sparkContext.broadcast(_sketch(sets))
         self.entries = stored(_shared_grams(_prefixes(docs, size, percent, sketch), percent), "entries")
         candidates = self.entries.select("class").distinct()
@@ -329,7 +334,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     those of one class always do, unless their set is empty (n = 0), which links with nothing.
     """
     p = _Prepared(docs, size, percent)
-    return p.verify(_cross(p.entries.withColumn("label", F.col("class")), percent)), p.members
+    return p.verify(_cross(p.entries.withColumn("label", F.col("class")), percent)), p.members.drop("row")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -339,6 +344,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     alone, with their own doc_id. Repeated rows are documents of one class. A null doc_id counts as larger
     than all others. Other columns are not looked at; an empty table gives no rows.
     """
+    return _grouped(docs, size, percent)
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, *columns: str) -> DataFrame:
+    """groups(), and of row and label (of the group; null without words) those that are asked for."""
     p = _Prepared(docs, size, percent)
     done = [p.entries, p.classes]  # tables that aren't needed once the labels are known
     # the share of a class's prefix that others have: the original of a group of near copies has more than its copies
@@ -379,23 +389,28 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         done += [label] if label is not None else []
         label = components(found.unionAll(more))
     discard(*done)
-    named = p.members.join(label, (p.members["class"] == label["node"]) & (p.members["n"] > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("label"))
+    named = p.members.join(label, (p.members["class"] == label["node"]) & (p.members["n"] > 0), "left").select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("label"))
     first = named.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("first"))
     found_in = named.join(first, named["label"] == first["l"], "left")
-    result = found_in.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    result = found_in.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), *columns)
     result = stored(result, "groups")
     discard(p.sets, label)
     return result
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, that with the smallest doc_id; all columns.
+    """docs with one row of each group, that with the smallest doc_id (null last; of one id by a hash of the text); all columns.
 
-    Documents without words stay. Rows of one doc_id that have words are one document, of which one row stays.
+    Rows without words stay. Rows of one doc_id, or of none, are documents of their own, so those with
+    different texts stay unless they link.
     """
-    found = stored(groups(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows")), "keep")
-    keep = lambda some: docs.join(some.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = found.where("n > 0 and rows > 1")
+    found = _grouped(docs, size, percent, "row", "label")
+    per = found.where("label is not null").groupBy("label", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    lead = per.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "rows")).alias("lead")).select("lead.row", "lead.rows")
+    empty = found.where("label is null").select("row", F.lit(1).cast("long").alias("rows")).distinct()
+    kept = stored(lead.unionByName(empty), "keep")
+    keep = lambda some: docs.join(some.select(F.col("row").alias("_id")), _row() == F.col("_id"), "left_semi")
+    repeated = kept.where("rows > 1")
     if not repeated.head(1):
-        return keep(found)
-    return keep(found.where("n = 0 or rows = 1")).unionByName(keep(repeated).dropDuplicates(["doc_id"]))
+        return keep(kept)
+    return keep(kept.where("rows = 1")).unionByName(keep(repeated).dropDuplicates(["doc_id", "text"]))
