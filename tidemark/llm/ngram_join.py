@@ -13,6 +13,7 @@ is either verified or already in one component, so components are exact.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import begin_task, bucketed, discard, mixed, slices, stored, texts_of
+from tidemark.llm.shared import begin_task, bucketed, discard, mixed, sieve, sifted, slices, stored, texts_of
 
 #: Cells of the frequency sketch, by the upper bits of a hash, and the parts it is added up in; ranges of hashes that the suffix filter counts.
 SKETCH_BITS, PARTS, RANGES = 24, 64, 32
@@ -149,15 +150,20 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def _sketch(sets: DataFrame) -> np.ndarray:
     """The level of the number of documents with an n-gram of each cell: 2^SKETCH_BITS bytes, whatever the input."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(cells), np.uint16)
+                own = np.frombuffer(zlib.decompress(cells), np.int64 if last else np.uint16)
                 sums[part] = sums.get(part, 0) + own.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary())], names=["part", "cells"])
-
-    found = sets.where("part is not null").select("part", "cells").repartition("part").mapInArrow(run, "part int, cells binary").collect()
+        raw = [_level(x).tobytes() if last else zlib.compress(x.tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())], names=["part", "cells"])
+
+    cells = sets.where("part is not null").select("part", "cells", F.spark_partition_id().alias("task"))
+    # added up in two steps, the first in about as many groups of tasks as each group has tasks
+    several = max(1, math.isqrt(sets.rdd.getNumPartitions()))
+    some = cells.repartition(F.col("part"), F.pmod("task", F.lit(several))).mapInArrow(lambda b: run(b, False), "part int, cells binary")
+    found = some.repartition("part").mapInArrow(lambda b: run(b, True), "part int, cells binary").collect()
     sketch = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint8)
     for part, cells in found:
         sketch[part] = np.frombuffer(cells, np.uint8)
@@ -320,8 +326,11 @@ class _Prepared:
         self.entries = stored(_shared_grams(_prefixes(docs, size, percent, sketch), percent), "entries")
         candidates = self.entries.select("class").distinct()
         known = sets.where("part is null and n > 0").groupBy("class").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
-        known = known.join(candidates, "class", "left_semi")
-        self.classes = bucketed(_keyed(docs).join(known, F.col("key") == F.col("id")).select("class", "n", "ranges", "text"), "class")
+        known = stored(known.join(candidates, "class", "left_semi"), "known")
+        wanted = sieve(known, "id")
+        some, _ = sifted(_keyed(docs), F.col("key"), wanted)  # texts of other documents stay where they are
+        self.classes = bucketed(some.join(known, F.col("key") == F.col("id")).select("class", "n", "ranges", "text"), "class")
+        discard(known, wanted)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         return stored(_verify(pairs, self.classes, self.size, self.percent), "links")
@@ -406,11 +415,14 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     found = _grouped(docs, size, percent, "row", "label")
     per = found.where("label is not null").groupBy("label", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
-    lead = per.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "rows")).alias("lead")).select("lead.row", "lead.rows")
-    empty = found.where("label is null").select("row", F.lit(1).cast("long").alias("rows")).distinct()
-    kept = stored(lead.unionByName(empty), "keep")
-    keep = lambda some: docs.join(some.select(F.col("row").alias("_id")), _row() == F.col("_id"), "left_semi")
-    repeated = kept.where("rows > 1")
-    if not repeated.head(1):
-        return keep(kept)
-    return keep(kept.where("rows = 1")).unionByName(keep(repeated).dropDuplicates(["doc_id", "text"]))
+    lead = per.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "rows")).alias("lead"), F.count("*").alias("members")).where("members > 1 or lead.rows > 1")
+    # what goes, and what stays but comes several times; no other text needs to move
+    told = per.join(lead.select(F.col("label").alias("l"), "lead"), F.col("label") == F.col("l")).select("row", (F.col("row") != F.col("lead.row")).alias("goes"), "rows")
+    told = stored(told.where("goes or rows > 1").select(F.col("row").alias("_row_told"), F.col("goes").alias("_goes")), "told")
+    discard(found)
+    some, rest = sifted(docs, _row(), sieve(told, "_row_told"))
+    if told.where("not _goes").head(1):
+        met = some.join(told, _row() == F.col("_row_told"), "left").drop("_row_told")
+        one = met.where("not _goes").drop("_goes").dropDuplicates(["doc_id", "text"])
+        return rest.unionByName(met.where("_goes is null").drop("_goes")).unionByName(one)
+    return rest.unionByName(some.join(told, _row() == F.col("_row_told"), "left_anti"))

@@ -54,12 +54,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return out, text_of
     place = np.arange(len(starts)) - before[owner]
     passage = first_passage[owner] + place // PASSAGE
-    # each byte belongs to the passage of the last word that began before it in its text
-    opens = np.append(True, passage[1:] != passage[:-1])
-    opened = starts[opens]
-    of_byte = np.repeat(passage[opens], np.diff(np.append(opened, len(data))))
-    body = kind[opened[0] :]
-    pairs = np.bincount(of_byte[1:] * _PAIRS + body[:-1] * 16 + body[1:], minlength=total * _PAIRS).reshape(total, _PAIRS)
+    # each byte belongs to the passage of the last word that began before it in its text, or to the text's first one
+    begin = np.repeat(offsets[:-1], passages)
+    opens = np.append(True, passage[1:] != passage[:-1]) & (place > 0)
+    begin[passage[opens]] = starts[opens]
+    of_byte = np.repeat(np.arange(total), np.diff(np.append(begin, len(data))))
+    # and each pair to the passage of its second byte; none crosses from text to text
+    second = 1 + np.flatnonzero(~edge[1 : len(data)])
+    pairs = np.bincount(of_byte[second] * _PAIRS + kind[second - 1] * 16 + kind[second], minlength=total * _PAIRS).reshape(total, _PAIRS)
     size = np.maximum(1, pairs.sum(axis=1, keepdims=True))
     out[:, :_PAIRS] = np.sqrt(pairs / size)
     # words: a rolling sum identifies each
@@ -115,7 +117,9 @@ class Model:
             return np.full(n, self.prior)
         x, text = features(data, offsets)
         sizes = np.bincount(text, minlength=n)
-        return self.forward((x - self.mean) / self.scale, np.cumsum(sizes) - sizes, sizes)["p"]
+        # a product's last digits may depend on the rows beside it; in doubles, they are far behind the eighth place
+        found = self.forward((x.astype(np.float64) - self.mean) / self.scale, np.cumsum(sizes) - sizes, sizes)["p"]
+        return np.round(found, 8)
 
 
 def train(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, *, width: int = 32, heads: int = 16, epochs: int = 24, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
@@ -164,11 +168,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _within(sizes: list[tuple[int, int, int]], most: int) -> list[int]:
+    """Of documents (id, label, bytes) in order those that fit into `most` bytes, passing over any that doesn't; of a label of which none fits, the shortest."""
+    taken, total = {}, 0
+    for i, y, size in sizes:
+        if total + size <= most:
+            taken[i] = y
+            total += size
+    for y in {y for _, y, _ in sizes} - set(taken.values()):
+        taken[min((size, i) for i, own, size in sizes if own == y)[1]] = y
+    return list(taken)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 6000, most_bytes: int = 24 << 20) -> Model:
     """Learn from labelled documents that aren't held out.
 
     Of them at most `most_rows` and `most_bytes` of text are taken, in the order of a hash of doc_id; these two
-    bound the sample, which comes to the driver as features of whole texts. Rows of labels with null are
+    bound the sample, which comes to the driver as features of whole texts. A text that doesn't fit any more is
+    passed over; of a label of which no text fits, the shortest is taken all the same. Rows of labels with null are
     ignored, as are documents with different labels. Repeated documents count as often as they are there.
     """
     spark = docs.sparkSession
@@ -176,9 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     ids = one.where("y = z").select("id", "y").orderBy(F.xxhash64("id"), "id").limit(most_rows)
     chosen = spark.createDataFrame(ids.collect(), "id long, y int")  # most_rows at most, so it can be broadcast
     sizes = docs.select(F.col("doc_id").cast("long").alias("id"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    sizes = sizes.join(F.broadcast(chosen.select("id")), "id").orderBy(F.xxhash64("id"), "id", "size").limit(most_rows).collect()
-    within = np.cumsum([s for _, s in sizes]) <= most_bytes
-    chosen = chosen.where(F.col("id").isin([i for (i, _), ok in zip(sizes, within, strict=True) if ok]))
+    sizes = sizes.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.sum("size").alias("size")).orderBy(F.xxhash64("id"), "id").collect()
+    chosen = chosen.where(F.col("id").isin(_within([tuple(r) for r in sizes], most_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -196,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """All rows and columns of docs with the score of each whole text, 0 to 1; null and empty texts have one, too.
 
-    A column named like the score is replaced. Repeated rows have equal scores.
+    A score is a function of the text alone: equal texts have equal ones, to eight places, wherever they stand.
+    A column named like the score is replaced; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size that doesn't depend on the documents
 

@@ -1,20 +1,22 @@
 """Token counts kept up to date by signed changes.
 
 A store holds one delta for each batch of changes: sums of documents and tokens by source, language and
-tokenizer version, signed. Totals are the sums of all committed deltas, so no document is counted anew. A batch
-is written first and committed by creating one small file that must not exist yet; applying it again, after a
-failure or twice at once, changes nothing. compact() folds deltas into one and remembers the batches in it.
+tokenizer version, signed. Totals are the sums of all live deltas, so no document is counted anew. A batch
+is written first and committed by the next numbered file of a log, which appears whole or not at all; applying
+it again, after a failure or twice at once, changes nothing. compact() folds deltas into one in the same log, and a
+checkpoint of the log saves reading what came before.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
+import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.files import Files
+
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, documents long, tokens long"
 CHANGES = "op string, source string, lang string, tokenizer string, tokens long, old_source string, old_lang string, old_tokenizer string, old_tokens long"
@@ -39,70 +41,100 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 
 class Rollups:
+    """Use apply(), totals() and compact(); any number of writers may do so at once."""
+
+    #: Commits after which apply() writes a checkpoint of the log.
+    EVERY = 64
+
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _commits(self) -> dict[str, dict]:
-        """What each commit file says, by name: its delta's folder, its batches and the commits it replaces."""
-        if not self._fs.exists(self._at("commits")):
-            return {}
-        found = {}
-        for status in self._fs.listStatus(self._at("commits")):
-            stream = self._fs.open(status.getPath())
-            try:
-                found[status.getPath().getName()] = json.loads(bytes(stream.readAllBytes()).decode())
-            finally:
-                stream.close()
-        return found
-
-    def _live(self) -> dict[str, dict]:
-        commits = self._commits()
-        gone = {name for c in commits.values() for name in c["replaces"]}
-        return {name: c for name, c in commits.items() if name not in gone}
-
-    def _commit(self, name: str, told: dict) -> bool:
-        """Create a commit file; False if it is there."""
-        try:
-            stream = self._fs.create(self._at(f"commits/{name}"), False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+        self.spark = spark
+        self.files = Files(spark, path)
+        self.path = self.files.root
+        self._seq, self._live, self._batches = 0, set(), set()
+
+    def _read(self) -> None:
+        """Take in what was committed since the last call."""
+        names = [n for n in self.files.names("log") if n[0] != "."]
+        if not self._seq and (kept := [n for n in names if n.endswith(".checkpoint")]):
+            told = json.loads(self.files.read(f"log/{kept[-1]}"))
+            self._seq, self._live, self._batches = told["seq"], set(told["live"]), set(told["batches"])
+        for name in names:
+            if name.endswith(".json") and int(name[:20]) > self._seq:
+                told = json.loads(self.files.read(f"log/{name}"))
+                self._live = (self._live - set(told["replaces"])) | {told["folder"]}
+                self._batches |= set(told["batches"])
+                self._seq = int(name[:20])
+
+    def _commit(self, folder: str, batch: str | None = None, replaces: frozenset[str] = frozenset()) -> bool:
+        """Append to the log; False if the batch is in it, or what this replaces no longer is live."""
+        while True:
+            self._read()
+            if batch in self._batches or not replaces <= self._live:
                 return False
-            raise
-        stream.write(bytearray(json.dumps(told).encode()))
-        stream.close()
-        return True
+            told = {"folder": folder, "batches": [] if batch is None else [batch], "replaces": sorted(replaces)}
+            if self.files.create(f"log/{self._seq + 1:020d}.json", json.dumps(told).encode()):
+                self._read()
+                return True
 
     def batches(self) -> set[str]:
-        return {b for c in self._commits().values() for b in c["batches"]}
+        self._read()
+        return set(self._batches)
+
+    def _write(self, sums: DataFrame) -> str:
+        folder = f"deltas/{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/{folder}")
+        return folder
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False, and nothing done, if that batch was applied before. An empty batch counts as applied."""
-        name = hashlib.sha256(batch.encode()).hexdigest()
         if batch in self.batches():
             return False
-        folder = f"deltas/{name}-{self.spark.sparkContext.applicationId}-{id(changes)}"
-        _sums(signed(changes)).write.mode("overwrite").parquet(f"{self.path}/{folder}")
-        return self._commit(name, {"folder": folder, "batches": [batch], "replaces": []})
+        folder = self._write(_sums(signed(changes)))
+        done = self._commit(folder, batch)
+        if not done:
+            self.files.delete(folder)
+        elif not self._seq % self.EVERY:
+            self.checkpoint()
+        return done
+
+    def _sum(self, folders: set[str]) -> DataFrame:
+        rows = self.spark.read.schema(SUMS).parquet(*[f"{self.path}/{f}" for f in sorted(folders)]) if folders else self.spark.createDataFrame([], SUMS)
+        return _sums(rows).where("documents <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens of all committed batches; keys whose sums are all 0 are left out."""
-        folders = [f"{self.path}/{c['folder']}" for c in self._live().values()]
-        rows = self.spark.read.schema(SUMS).parquet(*folders) if folders else self.spark.createDataFrame([], SUMS)
-        return _sums(rows).where("documents <> 0 or tokens <> 0")
+        self._read()
+        return self._sum(self._live)
 
-    def compact(self) -> None:
-        """Fold all live deltas into one; batches stay known. Of two at once, one stays without effect."""
-        live = self._live()
+    def compact(self) -> bool:
+        """Fold all live deltas into one; batches stay known. Of two at once one has no effect, and returns False.
+
+        Folded deltas stay on disk for readers of older totals, until vacuum().
+        """
+        self._read()
+        live = frozenset(self._live)
         if len(live) < 2:
-            return
-        name = hashlib.sha256("\n".join(["compact", *sorted(live)]).encode()).hexdigest()
-        folder = f"deltas/{name}"
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/{folder}")
-        self._commit(name, {"folder": folder, "batches": sorted(b for c in live.values() for b in c["batches"]), "replaces": sorted(live)})
+            return False
+        folder = self._write(self._sum(set(live)))
+        done = self._commit(folder, replaces=live)
+        if not done:
+            self.files.delete(folder)
+        return done
+
+    def checkpoint(self) -> None:
+        """Write down the state of the log, so that a new opening reads that and what comes after."""
+        self._read()
+        if self._seq:
+            told = {"seq": self._seq, "live": sorted(self._live), "batches": sorted(self._batches)}
+            self.files.create(f"log/{self._seq:020d}.checkpoint", json.dumps(told).encode())
+
+    def vacuum(self, before: int) -> int:
+        """Delete deltas that aren't live and were written before a time (Unix milliseconds), as lost writers leave them; how many files."""
+        self._read()
+        gone = [n for n, _, written in self.files.walk("deltas") if "/".join(n.split("/")[:2]) not in self._live and written < before]
+        for name in gone:
+            self.files.delete(name)
+        return len(gone)
 
 
 def count_matches(text: Column, pattern: str) -> Column:

@@ -14,16 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Rolling, begin_task, mixed, slices, text_bytes, texts_of
+from tidemark.llm.shared import Rolling, begin_task, mixed, sieve, sifted, slices, stored, text_bytes, texts_of
 
 SENTENCES, WORDS = 3, 20
 LONG, EVERY = 16, 6
 SLICE = 2 << 20
+_LAST = np.iinfo(np.int64).max
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SPACE = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
@@ -70,67 +70,69 @@ def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int) ->
     }
 
 
-_FIELDS = "hash long, check int, doc_id long, row long, start int, stop int"
+#: mark: 31 bits of check, and in the lowest whether the span is not the first with its hash in its slice; at: start and stop, 32 bits each.
+_FIELDS = "hash long, mark int, place long, row long, at long"
+_OUT = "row long, start int, stop int"
 
 
 def _spans_of(rows: DataFrame, sentences: int, words: int) -> DataFrame:
-    """Spans of rows (doc_id, text, row); later: not the first with its hash in its slice, so not the first of all."""
+    """Spans of rows (doc_id, text, row). What is not the first in its slice is not the first of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
         for batch in slices(batches, "text", SLICE):
             found = spans(*text_bytes(batch.column(1)), sentences, words)
-            text = found.pop("text")
-            docs = batch.column(0).take(pa.array(text))
-            key = np.where(docs.is_null(), np.iinfo(np.int64).max, docs.fill_null(0))
+            text = found["text"]
+            place = batch.column(0).fill_null(_LAST).to_numpy()[text]
             row = batch.column(2).to_numpy()[text]
-            later = np.zeros(len(text), bool)
+            at = found["start"] << 32 | found["stop"]
+            later = np.zeros(len(text), np.int64)
             by = np.argsort(found["hash"], kind="stable")
             same = found["hash"][by][1:] == found["hash"][by][:-1]
             if same.any():  # of those that share a hash, in order of place
                 twice = by[np.append(same, False) | np.append(False, same)]
-                order = twice[np.lexsort((found["start"][twice], row[twice], key[twice], found["check"][twice], found["hash"][twice]))]
-                later[order] = _not_first(found["hash"][order], found["check"][order], key[order], row[order], found["start"][order])
-            columns = [found["hash"], found["check"].astype(np.int32), docs, row, found["start"].astype(np.int32), found["stop"].astype(np.int32), later]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["hash", "check", "doc_id", "row", "start", "stop", "later"])
+                order = twice[np.lexsort((at[twice], row[twice], place[twice], found["check"][twice], found["hash"][twice]))]
+                later[order] = _not_first(found["hash"][order], found["check"][order], place[order], row[order], at[order])
+            mark = (found["check"] << 1 | later).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (found["hash"], mark, place, row, at))), names=["hash", "mark", "place", "row", "at"])
 
-    return rows.mapInArrow(run, _FIELDS + ", later boolean")
+    return rows.mapInArrow(run, _FIELDS)
 
 
-def _not_first(h: np.ndarray, check: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _not_first(h: np.ndarray, check: np.ndarray, place: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of rows in order: those with the hash of an earlier row, unless at the same place as the first (repeated rows)."""
     new = np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]))
     lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return (doc != doc[lead]) | (row != row[lead]) | (start != start[lead])
+    return (place != place[lead]) | (row != row[lead]) | (at != at[lead])
 
 
 def _repeated(found: DataFrame) -> DataFrame:
     """row, start, stop of all spans but the first of each hash."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead: pd.DataFrame | None = None
-        for df in batches:
-            if not len(df):
-                continue
-            passed, df = df[df["later"]], df[~df["later"]]
-            yield passed[["row", "start", "stop"]]
-            if not len(df):
-                continue
-            n = 0 if lead is None else len(lead)
-            df = pd.concat([lead, df], ignore_index=True)
-            columns = [df[c].to_numpy() for c in ("hash", "check", "place", "row", "start")]
-            yield df[np.append(np.zeros(n, bool), _not_first(*columns)[n:])][["row", "start", "stop"]]
-            # the first row of the last hash is what later batches compare with
-            h, check = columns[0], columns[1]
-            other = np.flatnonzero((h != h[-1]) | (check != check[-1]))
-            k = int(other[-1]) + 1 if len(other) else 0
-            lead = df.iloc[k : k + 1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead: list[np.ndarray] | None = None
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            passed = (columns[1] & 1) == 1
+            out = [[columns[3][passed], columns[4][passed]]]
+            columns = [c[~passed] for c in columns]
+            if len(columns[0]):
+                n = 0 if lead is None else 1
+                columns = [np.concatenate(p) for p in zip(lead, columns, strict=True)] if n else columns
+                again = _not_first(*columns)
+                again[:n] = False
+                out.append([columns[3][again], columns[4][again]])
+                # the first row of the last hash is what later batches compare with
+                h, mark = columns[0], columns[1]
+                other = np.flatnonzero((h != h[-1]) | (mark != mark[-1]))
+                k = int(other[-1]) + 1 if len(other) else 0
+                lead = [c[k : k + 1] for c in columns]
+            row, at = (np.concatenate(p) for p in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array((at >> 32).astype(np.int32)), pa.array((at & 0xFFFFFFFF).astype(np.int32))], names=["row", "start", "stop"])
 
     # spans that aren't the first of their slice are dealt by their place, so that a frequent span sends one row of each slice to the task of its hash
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    dealt = found.withColumn("place", place).withColumn("deal", F.when(F.col("later"), F.xxhash64("row", "start")).otherwise(F.col("hash"))).drop("doc_id")
-    ordered = dealt.repartition("deal").drop("deal").sortWithinPartitions("hash", "check", "place", "row", "start")
-    return ordered.mapInPandas(run, "row long, start int, stop int")
+    deal = F.when(F.col("mark").bitwiseAND(1) == 1, F.xxhash64("row", "at")).otherwise(F.col("hash"))
+    return found.repartition(deal).sortWithinPartitions("hash", "mark", "place", "row", "at").mapInArrow(run, _OUT)
 
 
 def _merged(repeated: DataFrame) -> DataFrame:
@@ -173,12 +175,14 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
     """
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce(F.col("text"), F.lit("")))
     found = _spans_of(texts_of(docs, row.alias("row")), sentences, words)
-    removed = _merged(_repeated(found))
-    kept = docs.drop("removed").withColumn("_row", row)
-    joined = kept.join(removed, kept["_row"] == removed["row"], "left").drop(removed["row"]).drop("_row")
+    removed = stored(_merged(_repeated(found)).withColumnRenamed("row", "_row"), "removed")
+    # texts of which nothing goes aren't shuffled
+    some, rest = sifted(docs.drop("removed"), row, sieve(removed, "_row"))
+    some = some.join(removed, row == removed["_row"], "left").drop("_row")
     hit = F.col("removed").isNotNull()
     changed = {"text": F.when(hit, _cut(F.col("text"), F.col("removed"))).otherwise(F.col("text"))}
-    joined = joined.withColumns(changed)
+    some = some.withColumns(changed)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start: int, stop: int>>")))
+        some = some.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    none = F.array().cast(removed.schema["removed"].dataType)
+    return some.withColumn("removed", F.coalesce("removed", none)).unionByName(rest.withColumn("removed", none))

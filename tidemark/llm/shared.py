@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
@@ -17,21 +18,44 @@ _tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or what setCheckpointDir() was given.
 
-    Only where that is unset (local tests) a temporary folder of this machine stands in.
+    Only where both are unset and the master is local (tests) a temporary folder of this machine stands in.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir() or ""
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = context.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return _own_dir[app]
 
 
+#: Folders that fresh_path() named since each temporary() that is still open.
+_open: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """At the end, or on an error, delete all tables made within, but those that spare() takes off the list."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        for path in made:
+            _delete(spark, path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -52,15 +76,59 @@ def bucketed(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
     return spark.table(name)
 
 
+def folders_of(df: DataFrame) -> set[str]:
+    """The folders of stored() and bucketed() tables that df reads."""
+    return {name for f in df.inputFiles() if "/tidemark-" in (name := f.rpartition("/")[0])}
+
+
+def spare(made: list[str], df: DataFrame) -> None:
+    """Of the folders of temporary() keep those that df reads."""
+    names = {f.rpartition("/")[2] for f in folders_of(df)}
+    made[:] = [f for f in made if f.rpartition("/")[2] not in names]
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of stored() and bucketed() frames once nothing reads them any more."""
     for df in frames:
-        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/tidemark-" in name:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-                if table := _tables.pop(name.rpartition("/")[2], None):
-                    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        for name in folders_of(df):
+            _delete(df.sparkSession, name)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if table := _tables.pop(folder.rpartition("/")[2], None):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+#: A sieve has 2^SIEVE_BITS bits in rows of 32 words of 64.
+SIEVE_BITS = 27
+
+
+def _sieve_place(key: Column) -> tuple[Column, Column, Column]:
+    """Of a key the sieve's row, word and bit."""
+    h = F.xxhash64(key, F.lit(SIEVE_BITS))
+    return h.bitwiseAND((1 << (SIEVE_BITS - 11)) - 1), F.shiftrightunsigned(h, 40).bitwiseAND(31).cast("int"), F.shiftrightunsigned(h, 48).bitwiseAND(63).cast("int")
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A bit for each key, by its hash: 16 MiB at most, whatever the number of keys, so it may be broadcast. Built and read in the JVM."""
+    block, word, bit = _sieve_place(F.col(key))
+    placed = keys.select(block.alias("_block"), word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")) for k in range(32)]
+    return stored(placed.groupBy("_block").agg(F.array(*words).alias("_bits")), "sieve")
+
+
+def sifted(rows: DataFrame, key: Column, sieve: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(some, rest) of rows: some holds all whose key is one of the sieve's, and few others while the sieve is not full; rest has none.
+
+    So only `some` needs to be shuffled to meet the keys.
+    """
+    block, word, bit = _sieve_place(key)
+    bits = F.get(sieve["_bits"], word)
+    there = F.coalesce(F.call_function("shiftrightunsigned", bits, bit).bitwiseAND(1) == 1, F.lit(False))
+    told = rows.join(F.broadcast(sieve), block == sieve["_block"], "left").withColumn("_there", there).drop(sieve["_block"], sieve["_bits"])
+    return told.where("_there").drop("_there"), told.where("not _there").drop("_there")
 
 
 _kept: dict[str, Callable[[], None]] = {}
