@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import benchmark, ngram_join, packing, quality, sentence_spans
 from tidemark.llm.queries import TOKENIZER, table
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import folders_of, spare, stored, temporary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage returns, over all documents. A stage's tables are deleted once the next one's are written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with temporary(spark) as made:
+            kept = stored(stage(spark, docs, sf_dir), name)
+            spare(made, kept)
+            made += folders_of(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
