@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidBucketWidth
 from tidemark.operators import (
-    admitted, bucket_aggregate, compaction_pick, expired_files, live_files, merged, ordered, overlapping_files, overlapping_windows, partition_listing, rejected, require_records, routed, scan_range, source_counts, total_bytes,
+    admitted, bucket_aggregate, merged, ordered, partition_listing, rejected, require_records, routed, scan_range, source_counts, total_bytes,
 )
 from tidemark.options import TOLERANT, Options
 from tidemark.schema import FILE_ENTRY, HOUR, NANOS, RECORD
@@ -94,12 +94,6 @@ def test_windows_of_negative_times(spark):
     assert all(r.part_start <= r.ts < r.part_start + HOUR and r.part_start % HOUR == 0 for r in found) and len(found) == 7
 
 
-def test_window_overlap(spark):
-    w = spark.createDataFrame([(100, 200)], "part_start long, part_end long")
-    for start, end, there in ((120, 150, 1), (50, 150, 1), (150, 250, 1), (50, 250, 1), (100, 200, 1), (0, 100, 0), (200, 300, 0), (500, 600, 0)):
-        assert overlapping_windows(w, start, end).count() == there
-
-
 def test_late_is_strictly_older_than_the_window(spark):
     now, options = 100 * HOUR, Options(late_window=300 * NANOS)
     horizon = now - options.late_window
@@ -134,23 +128,9 @@ def entries(spark, *rows_):
     return spark.createDataFrame([(p, s, s + 100, lo, hi, 1, 10) for p, s, lo, hi in rows_], FILE_ENTRY)
 
 
-def test_file_choices(spark):
-    files = entries(spark, ("a", 0, 1, 100), ("b", 0, 200, 500), ("c", 500, 600, 1000))
-    names = lambda df: sorted(r.path for r in df.collect())
-    assert names(expired_files(files, 501)) == ["a", "b"] and names(expired_files(files, 100)) == []
-    assert names(overlapping_files(files, 100, 200)) == ["a"] and names(overlapping_files(files, 101, 200)) == []
-    assert compaction_pick(files, 2).count() == 0
-    assert [tuple(r) for r in compaction_pick(files, 1).collect()] == [(0, 2, 2)]
-
-
 def test_states(spark):
     files = entries(spark, ("a", 0, 1, 2), ("b", 100, 101, 102))
     known = spark.createDataFrame([(0, 100), (100, 200), (200, 300)], "partition_start long, partition_end long")
     found = {(r.start, r.state, r.files, r.size_bytes) for r in partition_listing(files, known, 151, 50).collect()}
     assert found == {(0, "sealed", 1, 10), (100, "open", 1, 10), (200, "deleted", 0, 0)}
     assert partition_listing(files, known, 150, 50).first().state == "open"  # not yet past, but at the end
-
-
-def test_edits_fold_to_what_is_live(spark):
-    edits = spark.createDataFrame([(1, "a", True), (1, "b", True), (2, "c", True), (2, "a", False)], "seq long, path string, added boolean")
-    assert sorted(r.path for r in live_files(edits).collect()) == ["b", "c"]

@@ -1,13 +1,19 @@
 """Stores on disk: commits, snapshots, maintenance, restarts."""
 
 import json
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
+import tidemark
 from tidemark import maintenance
-from tidemark.errors import Closed, Conflict, CorruptLog, InvalidBucketWidth, LateArrival, OptionMismatch
+from tidemark.errors import Closed, Conflict, CorruptLog, InvalidBucketWidth, LateArrival, OptionMismatch, OrderViolation, SealedWindow
+from tidemark import store as store_module
 from tidemark.options import TOLERANT, Options
+from tidemark.plans.commitlog import Edit, FileEntry, Snapshot
 from tidemark.schema import HOUR, NANOS, RECORD
 from tidemark.store import Store
 
@@ -200,6 +206,171 @@ def test_store_paths_move_with_the_store(spark, store, tmp_path):
     assert Store.open(spark, str(tmp_path / "moved")).scan().count() == 10
 
 
+def entry(path, start, lo, hi, n=1):
+    return FileEntry(path, start, start + HOUR, lo, hi, n, 10)
+
+
+def test_choices_of_files():
+    files = [entry(k, 0, 0, t) for k, t in (("a", 100), ("b", 500), ("c", 1000))]
+    fifo = maintenance.Fifo(3)
+    assert [e.path for e in fifo.pick_expired(files, 501)] == ["a", "b"] and fifo.pick_expired(files, 100) == []
+    assert fifo.pick_merge(files) == [] and len(fifo.pick_merge([*files, entry("d", 0, 0, 1)])) == 4
+
+
+def test_edits_fold_to_what_is_live():
+    s = Snapshot()
+    s.apply(Edit(1, "append", (entry("a", 0, 1, 2), entry("b", 0, 1, 2))))
+    s.apply(Edit(2, "compact", (entry("c", HOUR, 1, 2),), ("a",)))
+    assert sorted(s.live) == ["b", "c"] and s.windows == {0: HOUR, HOUR: 2 * HOUR} and s.seq == 2
+
+
+def test_windows_and_files_of_a_range(spark, store):
+    store.append(frame(spark, hours(4, each=1)), BASE)
+    for start, end, n in ((30, 90, 2), (0, 120, 2), (-60, 0, 0), (60, 60, 0), (61, 62, 1), (240, 300, 0), (239, 300, 1)):
+        windows, files = store.pick(BASE + start * 60 * NANOS, BASE + end * 60 * NANOS)
+        assert len({e.partition_start for e in windows}) == n, (start, end)
+        assert set(files) <= set(windows) and all(e.max_ts >= BASE + start * 60 * NANOS and e.min_ts < BASE + end * 60 * NANOS for e in files)
+
+
+@pytest.mark.parametrize("layout", ["auto", "range", "clustered"])
+def test_layouts_write_the_same_records(spark, tmp_path, layout):
+    store = Store.open(spark, str(tmp_path / "s"), Options(late_mode=TOLERANT, check_order=True))
+    given = hours(3, each=40)
+    assert store.append(frame(spark, given).repartition(5), BASE, layout=layout) == 120
+    assert rows(store.scan()) == sorted(given) and store.unordered() == []
+    assert store.append(frame(spark, given).repartition(1).sortWithinPartitions("ts"), BASE, layout=layout) == 120
+    assert rows(store.scan()) == sorted(given * 2)
+    with pytest.raises(ValueError):
+        store.append(frame(spark, given), BASE, layout="no")
+
+
+def test_auto_shuffles_only_what_is_mixed_or_little(spark, store, monkeypatch):
+    df = frame(spark, hours(8, each=50))
+    assert not store._clustered(df.repartitionByRange(4, "ts")) and store._clustered(df.coalesce(1)) and store._clustered(df.limit(0))
+    monkeypatch.setattr(store_module, "CLUSTERED_ROWS", 5)
+    assert store._clustered(df.repartitionByRange(4, "ts")) and not store._clustered(df.repartition(4))
+
+
+def test_ordered_scans_shuffle_nothing_where_files_do_not_overlap(spark, store, monkeypatch):
+    given = hours(6, each=7)
+    store.append(frame(spark, given).coalesce(1), BASE)
+    store.append(frame(spark, given[:9]).coalesce(1), BASE)  # overlaps the first two hours
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(store.scan()) and rows(store.scan()) == sorted(given + given[:9])
+    expect = sorted(r for r in given + given[:9] if BASE + 5 <= r[0] < BASE + 3 * HOUR and r[1] == b"src-0")
+    assert rows(store.scan(BASE + 5, BASE + 3 * HOUR, b"src-0")) == expect
+    monkeypatch.setattr(store_module, "PARTS", 1)
+    assert "Exchange" in plan(store.scan()) and rows(store.scan()) == sorted(given + given[:9])
+
+
+def test_sealed_windows_refuse_records(spark, tmp_path):
+    options = Options(late_mode=TOLERANT, late_window=60 * NANOS, reject_sealed=True)
+    store = Store.open(spark, str(tmp_path / "s"), options)
+    now = BASE + HOUR + 60 * NANOS + 1  # just past the end of the first window and the late window
+    df = frame(spark, [(BASE, b"sealed", b""), (BASE + HOUR, b"late but open", b"")])
+    with pytest.raises(SealedWindow):
+        store.append(df, now, on_late="raise")
+    assert store.append(df, now) == 1 and store.metrics.counters["late_arrivals"] == 2
+    assert store.append(df, now - 1) == 2
+
+
+def test_files_out_of_order_are_refused(spark, tmp_path, monkeypatch):
+    store = Store.open(spark, str(tmp_path / "s"), Options(late_mode=TOLERANT, check_order=True))
+    store.append(frame(spark, [(1, b"a", b""), (1, b"b", b""), (2, b"\x80", b"")]).coalesce(1), BASE)
+    assert store.unordered() == []
+    for bad in ([(2, b"a", b""), (1, b"a", b"")], [(1, b"b", b""), (1, b"a", b"")]):
+        frame(spark, bad).coalesce(1).write.parquet(f"{store.files.root}/data/x{bad[0][0]}")
+        path = next(n for n, _, _ in store.files.walk(f"data/x{bad[0][0]}") if n.endswith(".parquet"))
+        assert store.unordered([FileEntry(path, 0, HOUR, 1, 2, 2, 1)]) == [path]
+    monkeypatch.setattr(store, "unordered", lambda entries: [entries[0].path])
+    with pytest.raises(OrderViolation):
+        store.append(frame(spark, hours(1)), BASE)
+    assert store.scan().count() == 3
+
+
+def test_scans_are_counted(spark, store):
+    store.append(frame(spark, hours(2)), BASE)
+    assert len(list(store.rows(BASE, BASE + HOUR))) == 5 and store.metrics.counters["scan_records"] == 5
+    metered = store.scan(metered=True)
+    store.metrics.settle()
+    assert store.metrics.counters["scan_records"] == 5
+    assert len(metered.collect()) == 10
+    store.metrics.settle()
+    store.metrics.settle()
+    assert store.metrics.counters["scan_records"] == 15 and store.count_scan() == 10
+    assert sum(store.metrics.histograms["scan_duration"].counts) == 2
+
+
+def test_metrics_are_served(spark, store):
+    store.append(frame(spark, hours(1)), BASE)
+    server = store.metrics.serve()
+    at = f"http://127.0.0.1:{server.server_port}"
+    assert "tidemark_appends_total 5" in urllib.request.urlopen(f"{at}/metrics").read().decode()
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(f"{at}/other")
+    server.shutdown()
+
+
+def test_appends_beside_scans_and_compaction(spark, store):
+    """One writer appends batches while another compacts and a reader scans: every state seen is a whole number of batches, and none is lost."""
+    seen, failed = [], []
+
+    def write():
+        try:
+            for k in range(6):
+                store.append(frame(spark, hours(1, offset=k * 10)).coalesce(1), BASE, f"b{k}")
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    other = Store.open(spark, store.files.root, store.options)
+    writer = threading.Thread(target=write)
+    writer.start()
+    while writer.is_alive():
+        seen.append(other.scan().count())
+        try:
+            maintenance.compact(other)
+        except Conflict:
+            pass
+    writer.join()
+    assert not failed and all(n % 5 == 0 for n in seen) and seen == sorted(seen)
+    assert store.scan().count() == 30 and len(store.log.snapshot().batches) == 6
+
+
+def test_a_writer_that_is_lost_after_its_data_leaves_nothing_to_see(spark, store, monkeypatch):
+    for k in range(2):
+        store.append(frame(spark, hours(1, offset=k)), BASE, f"b{k}")
+    create = store.files.create
+    monkeypatch.setattr(store.files, "create", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+    for attempt in (lambda: store.append(frame(spark, hours(1, offset=5)), BASE, "b2"), lambda: maintenance.compact(store, maintenance.Fifo(1))):
+        with pytest.raises(RuntimeError):
+            attempt()
+    again = Store.open(spark, store.files.root, store.options)
+    assert again.scan().count() == 10 and not maintenance.missing(again)
+    monkeypatch.setattr(store.files, "create", create)
+    assert again.append(frame(spark, hours(1, offset=5)), BASE, "b2") == 5  # the batch comes again
+    assert again.append(frame(spark, hours(1, offset=5)), BASE, "b2") == 0
+    assert maintenance.vacuum(again, now=(1 << 62), grace=0) and rows(again.scan()) == sorted([*hours(1), *hours(1, offset=1), *hours(1, offset=5)])
+
+
+def test_bloom_filters_skip_row_groups(spark, tmp_path):
+    found = {}
+    for indexed in (False, True):
+        store = Store.open(spark, str(tmp_path / f"s{indexed}"), Options(late_mode=TOLERANT, index_sources=indexed, partition_duration=DAY))
+        # so many sources that no dictionary holds them all; one that is absent lies between the least and the greatest
+        many = spark.range(60_000).selectExpr("id as ts", "cast(concat('source-', sha2(cast(id as string), 256)) as binary) as source_id", "cast('' as binary) as payload")
+        store.append(many.coalesce(1), BASE)
+        absent = store.scan(source=b"source-8", ordered=False)
+        assert absent.collect() == []
+        plan = absent._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        found[indexed] = leaf.metrics().get("numOutputRows").get().value()
+    assert found[True] == 0 < found[False]
+
+
+def test_the_package_has_the_public_names():
+    assert tidemark.Store is Store and all(hasattr(tidemark, name) for name in tidemark.__all__)
+
+
 def test_negative_times(spark, store):
     given = [(t, b"s", b"") for t in (-1, -HOUR, -HOUR - 1, 0)]
     store.append(frame(spark, given), BASE)

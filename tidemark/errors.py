@@ -35,3 +35,15 @@ class Conflict(TidemarkError):
 
 class OptionMismatch(TidemarkError, ValueError):
     """A store was opened with another partition duration than it was made with."""
+
+
+class SealedWindow(TidemarkError):
+    """Records of sealed windows were refused."""
+
+
+class OrderViolation(TidemarkError):
+    """A data file's rows are not in the order of time and source."""
+
+
+class StreamMismatch(TidemarkError):
+    """A stream's name belongs to another streaming query of this store."""

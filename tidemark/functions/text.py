@@ -17,17 +17,19 @@ _RFC3339 = re.compile(RFC3339, re.ASCII)
 
 def parse_rfc3339(text: Column) -> Column:
     """Unix nanoseconds; null if text is no RFC 3339 time with an offset, or beyond 64 bits. More than nine digits of a fraction are cut."""
-    whole_text = rf"\A{RFC3339}\z"
-    part = lambda k: F.regexp_extract(text, whole_text, k)
-    whole = lambda k: F.when(part(k) == "", 0).otherwise(part(k).try_cast("long"))
-    days = F.unix_date(part(1).try_cast("date")).cast("long")
-    offset = (whole(7) * 3600 + whole(8) * 60) * F.when(part(6) == "-", -1).otherwise(1)
-    seconds = days * 86400 + whole(2) * 3600 + whole(3) * 60 + whole(4) - offset
-    fraction = F.rpad(F.substring(part(5), 1, 9), 9, "0").try_cast("long")
+    # once the pattern holds, all but the fraction has its place
+    good = text.rlike(rf"\A{RFC3339}\z")
+    whole = lambda first: F.substring(text, first, 2).try_cast("long")
+    zulu = F.endswith(text, F.lit("Z"))
+    offset = F.when(zulu, 0).otherwise((F.substring(text, -5, 2).try_cast("long") * 3600 + F.substring(text, -2, 2).try_cast("long") * 60) * F.when(F.substring(text, -6, 1) == "-", -1).otherwise(1))
+    days = F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("long")
+    seconds = days * 86400 + whole(12) * 3600 + whole(15) * 60 + whole(18) - offset
+    digits = F.greatest(F.lit(0), F.least(F.lit(9), F.length(text) - F.when(zulu, 21).otherwise(26)))
+    fraction = F.rpad(F.substr(text, F.lit(21), digits), 9, "0").try_cast("long")
     limit = MAX_TS // NANOS
     # just inside the limits, so that the product never overflows
     fits = seconds.between(-limit, limit - 1)
-    return F.when(text.rlike(whole_text) & days.isNotNull() & fits, F.when(fits, seconds).otherwise(0) * F.lit(NANOS) + fraction)
+    return F.when(good & days.isNotNull() & fits, F.when(fits, seconds).otherwise(0) * F.lit(NANOS) + fraction)
 
 
 def format_rfc3339(ts: Column) -> Column:

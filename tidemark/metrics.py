@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 import math
+import threading
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+if TYPE_CHECKING:
+    from http.server import ThreadingHTTPServer
 
 #: The names of counters, gauges and histograms, and the bounds that Prometheus clients use by default.
 COUNTERS = ("appends", "append_bytes", "late_arrivals", "wal_writes", "memtable_flushes", "scans", "scan_records", "sstable_reads", "sstable_skips", "compactions", "files_expired", "bytes_reclaimed", "bytes_flushed", "bytes_compacted")
@@ -31,10 +39,23 @@ class Metrics:
         self.counters = dict.fromkeys(COUNTERS, 0)
         self.gauges = dict.fromkeys(GAUGES, 0)
         self.histograms = {name: Histogram() for name in HISTOGRAMS}
+        self._running: list[Observation] = []
 
     def add(self, name: str, n: int = 1) -> None:
         self.counters[name] += n
 
+    def metered(self, scan: DataFrame) -> DataFrame:
+        """scan, the records of whose first action are counted."""
+        seen = Observation()
+        self._running.append(seen)
+        return scan.observe(seen, F.count(F.lit(1)).alias("records"))
+
+    def settle(self) -> None:
+        """Take in the metered scans whose first action has ended."""
+        for seen in [o for o in self._running if o._jo.future().isCompleted()]:
+            self._running.remove(seen)
+            self.add("scan_records", seen.get["records"])
+
     def skip_ratio(self) -> float:
         """The share of files in overlapping windows that scans didn't have to read."""
         seen = self.counters["sstable_reads"] + self.counters["sstable_skips"]
@@ -55,3 +76,26 @@ class Metrics:
                 lines.append(f'{prefix}_{name}_seconds_bucket{{le="{"+Inf" if bound == math.inf else bound}"}} {done}')
             lines += [f"{prefix}_{name}_seconds_sum {h.total}", f"{prefix}_{name}_seconds_count {done}"]
         return "\n".join(lines) + "\n"
+
+    def serve(self, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+        """Answer GET /metrics with text() from a thread of its own; shutdown() of what is returned ends it. Port 0: any that is free."""
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer  # not needed by every worker that imports this
+
+        metrics = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self) -> None:
+                known = self.path == "/metrics"
+                body = metrics.text().encode() if known else b"not found"
+                self.send_response(200 if known else 404)
+                self.send_header("Content-Type", "text/plain; version=0.0.4")
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *_: object) -> None:
+                pass
+
+        server = ThreadingHTTPServer((host, port), Handler)
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        return server

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.options import STRICT, Options
-from tidemark.schema import MIN_TS
+from tidemark.schema import MIN_TS, window_start
 
 
 def late(now: int, window: int) -> Column:
@@ -14,13 +14,25 @@ def late(now: int, window: int) -> Column:
     return F.col("ts") < F.lit(max(MIN_TS, now - window))
 
 
+def sealed(now: int, options: Options) -> Column:
+    """A record's window is sealed once its end is more than the late window before now."""
+    end = window_start(F.col("ts"), options.partition_duration) + F.lit(options.partition_duration)
+    return end < F.lit(max(MIN_TS, now - options.late_window))
+
+
+def refused(now: int, options: Options) -> Column:
+    """Strict: late records. Tolerant: none, or with reject_sealed those of sealed windows; late ones go to the window they belong to."""
+    if options.late_mode == STRICT:
+        return late(now, options.late_window)
+    return sealed(now, options) if options.reject_sealed else F.lit(False)
+
+
 def admitted(records: DataFrame, now: int, options: Options) -> DataFrame:
-    """Strict: all that aren't late. Tolerant: all; late ones go to the window they belong to."""
-    return records.where(~late(now, options.late_window)) if options.late_mode == STRICT else records
+    return records.where(~refused(now, options))
 
 
 def rejected(records: DataFrame, now: int, options: Options) -> DataFrame:
-    return records.where(late(now, options.late_window) if options.late_mode == STRICT else F.lit(False))
+    return records.where(refused(now, options))
 
 
 def require_records(df: DataFrame) -> DataFrame:

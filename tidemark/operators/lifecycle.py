@@ -1,4 +1,4 @@
-"""Choices about files and windows, as DataFrames over file entries (see schema.FILE_ENTRY)."""
+"""The states of windows, from file entries (see schema.FILE_ENTRY)."""
 
 from __future__ import annotations
 
@@ -6,22 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def overlapping_files(files: DataFrame, start: int, end: int) -> DataFrame:
-    """Files that can hold records of [start, end), by their least and greatest time."""
-    return files.where((F.col("max_ts") >= F.lit(start)) & (F.col("min_ts") < F.lit(end)))
-
-
-def expired_files(files: DataFrame, horizon: int) -> DataFrame:
-    """Files all of whose records are before the horizon; a file with one at the horizon or after stays whole."""
-    return files.where(F.col("max_ts") < F.lit(horizon))
-
-
-def compaction_pick(files: DataFrame, most: int) -> DataFrame:
-    """Windows with more than `most` files: partition_start, files, record_count."""
-    counted = files.groupBy("partition_start").agg(F.count(F.lit(1)).alias("files"), F.sum("record_count").alias("record_count"))
-    return counted.where(F.col("files") > F.lit(most))
-
-
 def partition_state(end: Column, files: Column, now: int, late_window: int) -> Column:
     """deleted: nothing is left of the window; sealed: now is past its end and the late window; else open."""
     return F.when(files == 0, "deleted").when(F.lit(now) > end + F.lit(late_window), "sealed").otherwise("open")
@@ -34,9 +18,3 @@ def partition_listing(files: DataFrame, known: DataFrame, now: int, late_window:
         F.col("partition_start").alias("start"), F.col("partition_end").alias("end"), F.coalesce("files", F.lit(0)).cast("long").alias("files"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes")
     )
     return found.withColumn("state", partition_state(F.col("end"), F.col("files"), now, late_window)).select("start", "end", "state", "files", "size_bytes").orderBy("start")
-
-
-def live_files(edits: DataFrame) -> DataFrame:
-    """The files that edits (seq, path, added) leave: of each path the last edit counts, and it must add."""
-    last = edits.groupBy("path").agg(F.max_by("added", "seq").alias("added"))
-    return last.where("added").select("path")

@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import MIN_TS, window_start
+from tidemark.schema import window_start
 
 
 def routed(records: DataFrame, duration: int) -> DataFrame:
     """records with part_start, the start of the window that holds them: part_start <= ts < part_start + duration."""
     return records.withColumn("part_start", window_start(F.col("ts"), duration))
-
-
-def overlap(first: Column, last: Column, start: int, end: int) -> Column:
-    """Whether [first, last) and [start, end) share a point; neighbours do not."""
-    return (first < F.lit(end)) & (last > F.lit(start))
-
-
-def overlapping_windows(windows: DataFrame, start: int, end: int) -> DataFrame:
-    """Of windows (part_start, part_end) those that overlap [start, end)."""
-    return windows.where(overlap(F.col("part_start"), F.col("part_end"), start, end))
-
-
-def window_bounds(start: int, end: int, duration: int) -> Column:
-    """A predicate on part_start alone that keeps every window with records in [start, end): it prunes directories."""
-    return (F.col("part_start") < F.lit(end)) & (F.col("part_start") > F.lit(max(MIN_TS, start - duration)))

@@ -20,9 +20,9 @@ def scan_range(records: DataFrame, start: int, end: int, source: bytes | None =
     return found
 
 
-def ordered(records: DataFrame) -> DataFrame:
-    """By ts and source (unsigned bytes); equal keys by payload, so that the order is one."""
-    return records.orderBy("ts", "source_id", "payload")
+def ordered(records: DataFrame, ties: bool = True) -> DataFrame:
+    """By ts and source (unsigned bytes). With ties, equal keys by payload, so that the order is one; without, payloads are never compared."""
+    return records.orderBy("ts", "source_id", *(["payload"] if ties else []))
 
 
 def merged(*parts: DataFrame) -> DataFrame:

@@ -14,12 +14,14 @@ CODECS = ("none", "zstd", "snappy")
 class Options:
     """Durations are nanoseconds. partition_duration is kept in the store; the others may differ at each opening.
 
-    The defaults up to retention are fixed values.
+    The defaults of durations, modes and numbers of files up to retention are fixed values.
     """
 
     partition_duration: int = HOUR
     late_window: int = 300 * NANOS
     late_mode: str = STRICT
+    #: In tolerant mode: refuse records of windows that are sealed.
+    reject_sealed: bool = False
     #: A window with more files than this is compacted.
     max_files_per_partition: int = 10
     #: Files whose newest record is older than this are expired; 0: never.
@@ -31,6 +33,8 @@ class Options:
     page_bytes: int = 1 << 20
     #: Files are cut at about this size when they are compacted.
     target_file_bytes: int = 1 << 30
+    #: Read each new file once more and refuse the commit if its rows are out of order.
+    check_order: bool = False
 
     def __post_init__(self) -> None:
         for name in ("partition_duration", "row_group_bytes", "page_bytes", "target_file_bytes"):

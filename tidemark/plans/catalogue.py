@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from tidemark import maintenance
 from tidemark.functions import format_rfc3339, parse_rfc3339
 from tidemark.operators import (
-    admitted, bucket_aggregate, compaction_pick, expired_files, file_stats, live_files, merged, overlapping_files, overlapping_windows, partition_listing, rejected, routed, scan_range, source_counts, total_bytes,
+    admitted, bucket_aggregate, file_stats, merged, rejected, routed, scan_range, source_counts, total_bytes,
 )
 from tidemark.options import STRICT, TOLERANT, Options
-from tidemark.schema import HOUR, NANOS
+from tidemark.schema import FILE_ENTRY, HOUR, NANOS
 from tidemark.sources import event_records, export_lines, lineitem_records, order_records, parse_lines
 from tidemark.store import Store
 from tidemark.streaming import write_stream
@@ -60,8 +60,10 @@ def shown(records: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for a store: in the folder that the cluster shares, or on this machine where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """A folder for a store: in the folder that the cluster shares; on this machine only where none is set and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
 
 
@@ -195,35 +197,60 @@ def route_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(moved, 7 * HOUR).select("ts", "part_start")
 
 
-WINDOWS = f"(select distinct ts // {HOUR} * {HOUR} as part_start, ts // {HOUR} * {HOUR} + {HOUR} as part_end from {EVENTS} as r)"
+def batches_store(spark: SparkSession, sf_dir: str, days: int, window: int = DAY, **options) -> Store:
+    """Events in a store of daily windows (or others), by batches of so many days, each of which makes one file in a window."""
+    store = Store.open(spark, scratch(spark), Options(partition_duration=window, late_mode=TOLERANT, **options))
+    for first in range(0, 30, days):
+        part = scan_range(events(spark, sf_dir), JAN + first * DAY, JAN + (first + days) * DAY)
+        store.append(part.coalesce(1), now=JAN, layout="clustered")
+    return store
 
 
-@query(f"select part_start, part_end from {WINDOWS} as w where part_start < {JAN + 8 * DAY} and part_end > {JAN + 5 * DAY}")
-def partition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = routed(events(spark, sf_dir), HOUR).select("part_start").distinct().withColumn("part_end", F.col("part_start") + F.lit(HOUR))
-    return overlapping_windows(windows, JAN + 5 * DAY, JAN + 8 * DAY)
+def sources_store(spark: SparkSession, sf_dir: str, **options) -> Store:
+    """Events in a store of daily windows, by one batch for each source, so that each source's records of a day are a file."""
+    store = Store.open(spark, scratch(spark), Options(partition_duration=DAY, late_mode=TOLERANT, **options))
+    for source in ("click", "error", "purchase", "signup", "view"):
+        store.append(events(spark, sf_dir).where(F.col("source_id") == F.lit(source.encode())).coalesce(1), now=JAN, layout="clustered")
+    return store
+
 
+def entries(spark: SparkSession, found: list) -> DataFrame:
+    return spark.createDataFrame([tuple(vars(e).values()) for e in found], FILE_ENTRY)
 
-def daily_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As if each source's records of a day were a file."""
-    stats = file_stats(routed(events(spark, sf_dir), DAY), "part_start", "source_id")
-    path = F.concat_ws("/", "part_start", F.col("source_id").cast("string"))
-    return stats.select(path.alias("path"), F.col("part_start").alias("partition_start"), (F.col("part_start") + F.lit(DAY)).alias("partition_end"), "min_ts", "max_ts", "record_count", (F.col("record_count") * 100).alias("size_bytes"))
 
+#: The files of sources_store(), those of batches_store() with windows of a day, and with windows of 60 days by batches of 3.
+FILES = f"(select ts // {DAY} * {DAY} as partition_start, source_id, min(ts) as min_ts, max(ts) as max_ts, count(*) as record_count from {EVENTS} as r group by 1, 2)"
+DAYS = f"(select ts // {DAY} * {DAY} as partition_start, min(ts) as min_ts, max(ts) as max_ts, count(*) as record_count from {EVENTS} as r group by 1)"
+BATCHES = f"(select (ts - {JAN}) // {3 * DAY} as batch, ts // {60 * DAY} * {60 * DAY} as partition_start, min(ts) as min_ts, max(ts) as max_ts from {EVENTS} as r where ts < {JAN + 30 * DAY} group by 1, 2)"
 
-FILES = f"(select ts // {DAY} * {DAY} || '/' || source_id as path, ts // {DAY} * {DAY} as partition_start, min(ts) as min_ts, max(ts) as max_ts, count(*) as record_count, count(*) * 100 as size_bytes from {EVENTS} as r group by 1, 2)"
+
+@query(f"select partition_start, partition_start + {DAY} as partition_end from {DAYS} as d where partition_start < {JAN + 8 * DAY} and partition_start + {DAY} > {JAN + 5 * DAY}")
+def partition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that a store looks at for a range."""
+    windows, _ = batches_store(spark, sf_dir, 30).pick(JAN + 5 * DAY, JAN + 8 * DAY)
+    return entries(spark, windows).select("partition_start", "partition_end").distinct()
 
 
-@query(f"select path, min_ts, max_ts from {FILES} as f where max_ts >= {JAN + 4 * DAY + HOUR} and min_ts < {JAN + 6 * DAY - HOUR}")
+@query(f"select min_ts, max_ts from {BATCHES} as f where max_ts >= {JAN + 4 * DAY + HOUR} and min_ts < {JAN + 9 * DAY - HOUR}")
 def file_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlapping_files(daily_files(spark, sf_dir), JAN + 4 * DAY + HOUR, JAN + 6 * DAY - HOUR).select("path", "min_ts", "max_ts")
+    """The files that a store reads for a range, of one window with many."""
+    _, files = batches_store(spark, sf_dir, 3, 60 * DAY).pick(JAN + 4 * DAY + HOUR, JAN + 9 * DAY - HOUR)
+    return entries(spark, files).select("min_ts", "max_ts")
 
 
-@query(f"select cast(count(*) filter (where max_ts >= {JAN + 4 * DAY} and min_ts < {JAN + 4 * DAY + 2 * HOUR}) as bigint) as files_read, cast(count(*) filter (where not (max_ts >= {JAN + 4 * DAY} and min_ts < {JAN + 4 * DAY + 2 * HOUR})) as bigint) as files_skipped from {FILES} as f")
+_RANGE = f"max_ts >= {JAN + 4 * DAY} and min_ts < {JAN + 4 * DAY + 2 * HOUR}"
+
+
+@query(
+    f"""with f as (select * from {BATCHES} as f where partition_start < {JAN + 4 * DAY + 2 * HOUR} and partition_start + {60 * DAY} > {JAN + 4 * DAY})
+    select cast(count(*) filter (where {_RANGE}) as bigint) as files_read, cast(count(*) filter (where not ({_RANGE})) as bigint) as files_skipped from f"""
+)
 def file_skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = daily_files(spark, sf_dir)
-    read = overlapping_files(files, JAN + 4 * DAY, JAN + 4 * DAY + 2 * HOUR).agg(F.count("*").alias("files_read"))
-    return read.crossJoin(files.agg(F.count("*").alias("n"))).select("files_read", (F.col("n") - F.col("files_read")).alias("files_skipped"))
+    """What the metrics of a store say after a scan of two hours."""
+    store = batches_store(spark, sf_dir, 3, 60 * DAY)
+    store.scan(JAN + 4 * DAY, JAN + 4 * DAY + 2 * HOUR)
+    told = store.metrics.counters
+    return spark.createDataFrame([(told["sstable_reads"], told["sstable_skips"])], "files_read long, files_skipped long")
 
 
 NOW = JAN + 20 * DAY
@@ -246,18 +273,21 @@ def late_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LISTING = f"""select partition_start as start, partition_start + {DAY} as "end", case when {NOW} > partition_start + {DAY} + {2 * DAY} then 'sealed' else 'open' end as state,
-       count(*) as files, cast(sum(size_bytes) as bigint) as size_bytes from {FILES} as f group by 1"""
+       count(*) as files from {FILES} as f group by 1"""
 
 
 @query(LISTING)
 def partitions_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = daily_files(spark, sf_dir)
-    return partition_listing(files, files.select("partition_start", "partition_end").distinct(), NOW, 2 * DAY)
+    """The windows of a store that has a file of each source and day."""
+    return sources_store(spark, sf_dir, late_window=2 * DAY).partitions(NOW).drop("size_bytes")
 
 
-@query(f"select start, state from ({LISTING}) as x")
+@query(f"select partition_start as start, case when partition_start + {DAY} < {JAN + 12 * DAY} then 'deleted' when {NOW} > partition_start + {3 * DAY} then 'sealed' else 'open' end as state from {DAYS} as d")
 def sealed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partitions_listing(spark, sf_dir).select("start", "state")
+    """Open, sealed and deleted windows of a store after retention."""
+    store = batches_store(spark, sf_dir, 30, late_window=2 * DAY, retention=NOW - JAN - 11 * DAY)
+    maintenance.expire(store, NOW)
+    return store.partitions(NOW).select("start", "state")
 
 
 # retention, compaction, log
@@ -265,9 +295,11 @@ def sealed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 HORIZON = JAN + 12 * DAY + 7 * HOUR
 
 
-@query(f"select path, max_ts from {FILES} as f where max_ts < {HORIZON}")
+@query(f"select partition_start, max_ts, record_count from {FILES} as f where max_ts < {HORIZON}")
 def retention_expired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expired_files(daily_files(spark, sf_dir), HORIZON).select("path", "max_ts")
+    """The files that retention takes off a store's log."""
+    gone = maintenance.expire(sources_store(spark, sf_dir, retention=NOW - HORIZON), NOW)
+    return entries(spark, gone).select("partition_start", "max_ts", "record_count")
 
 
 @query(f"select r.ts, r.source_id, r.payload from {EVENTS} as r join (select ts // {DAY} as d, max(ts) as m from {EVENTS} as q group by 1) as w on r.ts // {DAY} = w.d where w.m >= {HORIZON}")
@@ -282,7 +314,10 @@ def retention_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select partition_start, count(*) as files, cast(sum(record_count) as bigint) as record_count from {FILES} as f group by 1 having count(*) > 4")
 def compaction_pick_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction_pick(daily_files(spark, sf_dir), 4)
+    """The windows of a store that compaction would merge."""
+    picked = maintenance.picks(sources_store(spark, sf_dir), maintenance.Fifo(4))
+    rows = [(start, len(files), sum(e.record_count for e in files)) for start, files in picked.items()]
+    return spark.createDataFrame(rows, "partition_start long, files long, record_count long")
 
 
 @query(f"select ts, source_id, payload from {LINES} as r union all select ts, source_id, payload from {ORDERS} as r")
@@ -294,15 +329,16 @@ def compaction_preserves_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(store.scan())
 
 
-EDITS = f"(select 1 as seq, path, true as added from {FILES} as f union all select 2, path, false from {FILES} as f where record_count % 2 = 0 union all select 3, path, true from {FILES} as f where record_count % 4 = 0)"
-
-
-@query(f"select path from (select path, added, row_number() over (partition by path order by seq desc) as k from {EDITS} as e) as x where k = 1 and added")
+@query(
+    f"""with f as (select *, count(*) over (partition by partition_start) as n from {FILES} as f)
+    select partition_start, max(max_ts) as max_ts, cast(sum(record_count) as bigint) as record_count from f group by partition_start, case when n > 4 then '' else source_id end having max(max_ts) >= {HORIZON}"""
+)
 def manifest_live_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = daily_files(spark, sf_dir).select("path", "record_count")
-    edit = lambda seq, added, rows: rows.select(F.lit(seq).alias("seq"), "path", F.lit(added).alias("added"))
-    edits = edit(1, True, files).unionAll(edit(2, False, files.where("record_count % 2 = 0"))).unionAll(edit(3, True, files.where("record_count % 4 = 0")))
-    return live_files(edits)
+    """What the log of a store says is live after five appends, a compaction and retention, read anew by another opening."""
+    store = sources_store(spark, sf_dir, max_files_per_partition=4, retention=NOW - HORIZON)
+    maintenance.compact(store)
+    maintenance.expire(store, NOW)
+    return Store.open(spark, store.files.root).file_frame().select("partition_start", "max_ts", "record_count")
 
 
 # lines of JSON
@@ -331,10 +367,11 @@ def time_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select ts, source_id, payload from {EVENTS} as r")
 def stream_append_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams the events into a store, and once more from an empty checkpoint, as after a lost one: no record comes twice."""
+    """Streams the events into a store, and starts once more from the same checkpoint: no record comes twice."""
     store = Store.open(spark, scratch(spark), Options(partition_duration=DAY, late_mode=TOLERANT))
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    checkpoint = scratch(spark)
     for _ in range(2):
         stream = event_records(spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parque[t]"))
-        write_stream(stream, store, scratch(spark), lambda: JAN, "events").trigger(availableNow=True).start().awaitTermination()
+        write_stream(stream, store, checkpoint, lambda: JAN, "events").trigger(availableNow=True).start().awaitTermination()
     return shown(store.scan())

@@ -39,9 +39,16 @@ def record_size(source: Column | str = "source_id", payload: Column | str = "pay
     return (F.lit(8) + F.octet_length(source) + F.octet_length(payload)).cast("long")
 
 
-def nanos(timestamp: Column) -> Column:
-    """Unix nanoseconds of a timestamp with or without zone (taken as UTC in a session that is set to UTC)."""
-    return F.unix_micros(timestamp.cast("timestamp")) * F.lit(1000).cast("long")
+def nanos(timestamp: Column, zone: str = "UTC") -> Column:
+    """Unix nanoseconds of a timestamp; one without zone is taken as UTC in a session whose zone is given.
+
+    In a session in UTC that is a cast; else the parts are put together, as the session's zone may leave out or repeat hours.
+    """
+    if zone in ("UTC", "Etc/UTC", "Z"):
+        return F.unix_micros(timestamp.cast("timestamp")) * F.lit(1000).cast("long")
+    micros = F.unix_date(timestamp.cast("date")).cast("long") * 86_400_000_000 + F.hour(timestamp).cast("long") * 3_600_000_000 + F.minute(timestamp).cast("long") * 60_000_000
+    second = (F.extract(F.lit("SECOND"), timestamp) * 1_000_000).cast("long")
+    return (micros + second) * F.lit(1000).cast("long")
 
 
 def records_of(df: DataFrame, ts: Column, source: Column, payload: Column) -> DataFrame:

@@ -13,9 +13,11 @@ _LINE = "timestamp string, source string, payload string"
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """lines (value) as value, ts, source_id, payload, good. Blank lines are left out; a missing source or payload is empty."""
-    told = F.from_json("value", _LINE)
-    rows = lines.where(F.trim("value") != "").select("value", told.alias("x"), F.get_json_object("value", "$").isNotNull().alias("json"))
-    rows = rows.select("value", "json", parse_rfc3339(F.col("x.timestamp")).alias("ts"), strict_base64(F.coalesce("x.source", F.lit(""))).alias("source_id"), strict_base64(F.coalesce("x.payload", F.lit(""))).alias("payload"))
+    told = F.struct("value", F.from_json("value", _LINE).alias("x"), F.get_json_object("value", "$").isNotNull().alias("json"))
+    # through a generator of one row, so that each line is parsed once: projections would be merged, and from_json copied to every use
+    rows = lines.where(F.trim("value") != "").select(F.inline(F.array(told)))
+    parts = F.struct("value", "json", parse_rfc3339(F.col("x.timestamp")).alias("ts"), strict_base64(F.coalesce("x.source", F.lit(""))).alias("source_id"), strict_base64(F.coalesce("x.payload", F.lit(""))).alias("payload"))
+    rows = rows.select(F.inline(F.array(parts)))
     good = F.col("json") & F.col("ts").isNotNull() & F.col("source_id").isNotNull() & F.col("payload").isNotNull()
     return rows.select("value", "ts", "source_id", "payload", F.coalesce(good, F.lit(False)).alias("good"))
 

@@ -5,18 +5,25 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.errors import Closed, LateArrival, OptionMismatch
+from tidemark.errors import Closed, LateArrival, OptionMismatch, OrderViolation, SealedWindow
 from tidemark.metrics import Metrics
 from tidemark.operators import admission, aggregate, lifecycle, route, scan
 from tidemark.options import STRICT, Options
 from tidemark.plans.commitlog import CommitLog, FileEntry, Snapshot
 from tidemark.plans.files import Files
-from tidemark.schema import FILE_ENTRY, MAX_TS, MIN_TS, RECORD, record_size, window_start_of
+from tidemark.schema import FILE_ENTRY, MAX_TS, MIN_TS, RECORD, record_size, window_start, window_start_of
+
+#: An ordered scan's parts: bytes on disk of each, and how many before a sort by ranges is the better plan.
+PART_BYTES, PARTS = 256 << 20, 200
+#: Records that a file should have at least where an append doesn't shuffle.
+CLUSTERED_ROWS = 20_000
 
 
 class Store:
@@ -55,28 +62,26 @@ class Store:
 
     # writing
 
-    def append(self, records: DataFrame, now: int, batch_id: str | None = None, on_late: str = "drop") -> int:
+    def append(self, records: DataFrame, now: int, batch_id: str | None = None, on_late: str = "drop", layout: str = "auto") -> int:
         """Write records in one commit; how many were let in.
 
-        In strict mode late ones are left out and counted, or, with on_late "raise", LateArrival is raised and
-        nothing written. A batch_id that was committed before makes this do nothing and return 0. A null in
-        a record raises, and nothing is written.
+        Refused records (late ones in strict mode, those of sealed windows with reject_sealed) are left out and
+        counted, or, with on_late "raise", LateArrival or SealedWindow is raised and nothing kept. A batch_id that was
+        committed before makes this do nothing and return 0. A null in a record raises, and nothing is written.
+        Refused records are counted by the job that writes the others. layout: see write().
         """
         self._open()
         if on_late not in ("drop", "raise"):
             raise ValueError("on_late is drop or raise")
         if batch_id is not None and batch_id in self.log.snapshot().batches:
             return 0
-        checked = admission.require_records(records)
-        late = 0
-        if self.options.late_mode == STRICT:
-            # reads no column but ts
-            late = admission.rejected(records.select("ts"), now, self.options).count()
-            if late and on_late == "raise":
-                self.metrics.add("late_arrivals", late)
-                raise LateArrival(f"{late} records are late")
-        seen = Observation()
-        added = self.write(admission.admitted(checked, now, self.options), seen=seen)
+        added, seen = self.write(admission.require_records(records), refuse=admission.refused(now, self.options), layout=layout)
+        if seen["refused"] and on_late == "raise":
+            self.discard([e.path for e in added])
+            self.metrics.add("late_arrivals", seen["refused"])
+            if self.options.late_mode == STRICT:
+                raise LateArrival(f"{seen['refused']} records are late")
+            raise SealedWindow(f"{seen['refused']} records are of sealed windows")
         if added or batch_id is not None:
             after = self.log.commit("append", added, [], batch_id)
             if after is None:  # another writer was first with this batch
@@ -85,21 +90,34 @@ class Store:
             self._gauge(after)
         kept = sum(e.record_count for e in added)
         self.metrics.add("appends", kept)
-        self.metrics.add("append_bytes", seen.get["bytes"] or 0)
-        self.metrics.add("late_arrivals", late)
+        self.metrics.add("append_bytes", seen["bytes"])
+        self.metrics.add("late_arrivals", seen["refused"])
         self.metrics.add("memtable_flushes", 1 if added else 0)
         self.metrics.add("bytes_flushed", sum(e.size_bytes for e in added))
         return kept
 
-    def write(self, records: DataFrame, split: dict[int, int] | None = None, seen: Observation | None = None) -> list[FileEntry]:
-        """Data files with these records, not yet committed. seen gets their bytes.
+    def _clustered(self, records: DataFrame) -> bool:
+        """Whether each task's records already are of a small part of the whole time, and enough for the files they would make. Reads no column but ts."""
+        duration = self.options.partition_duration
+        each = records.select("ts").groupBy(F.spark_partition_id().alias("task")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
+        a, b = F.col("a"), F.col("b")
+        windows = window_start(b, duration) / duration - window_start(a, duration) / duration + 1
+        tasks, rows, files, spans, whole = each.agg(F.count(F.lit(1)), F.sum("n"), F.sum(windows), F.sum(b.cast("double") - a), F.max("b").cast("double") - F.min("a")).first()
+        return tasks <= 1 or (files * CLUSTERED_ROWS <= rows and spans <= 2 * whole)
+
+    def write(self, records: DataFrame, split: dict[int, int] | None = None, refuse: Column | None = None, layout: str = "auto") -> tuple[list[FileEntry], dict[str, int]]:
+        """Data files with these records, not yet committed; and how many bytes they have and how many records were refused.
 
-        Rows are dealt by ranges of (window, ts), so a window with most of the rows is written by many tasks,
-        and each file covers a narrow range of time. With split, each window makes that many files instead, of
-        equal stretches of time.
+        layout "range": rows are dealt by ranges of (window, ts), so a window with most of the rows is written by
+        many tasks, and each file covers a narrow range of time. "clustered": each task sorts and writes what it
+        has, without a shuffle. "auto": clustered, if the tasks' times hardly overlap as they are. With split, each
+        window makes that many files instead, of equal stretches of time.
         """
+        if layout not in ("auto", "range", "clustered"):
+            raise ValueError("layout is auto, range or clustered")
         folder = f"data/{uuid.uuid4().hex}"
         dealt = route.routed(records, self.options.partition_duration)
+        folders = ["part_start"]
         if split:
             duration = self.options.partition_duration
             several = [F.lit(x).cast("long") for start, n in split.items() if n > 1 for x in (start, n)]
@@ -107,25 +125,38 @@ class Store:
             place = F.call_function("div", F.col("ts") - F.col("part_start"), F.lit(max(1, duration // 100_000_000)).cast("long"))
             stretch = F.call_function("div", place * F.coalesce(F.create_map(*several)[F.col("part_start")], F.lit(1)), F.lit(duration // max(1, duration // 100_000_000) + 1).cast("long")) if several else F.lit(0)
             dealt = dealt.withColumn("stretch", stretch).repartition(sum(split.values()), "part_start", "stretch")
-        else:
+            folders.append("stretch")
+        elif layout == "range" or (layout == "auto" and not self._clustered(records)):
             dealt = dealt.repartitionByRange("part_start", "ts")
-        folders = ["part_start", "stretch"] if split else ["part_start"]
-        placed = dealt.sortWithinPartitions(*folders, "ts", "source_id")
-        if seen:
-            # behind the shuffle, as the choice of ranges reads what is before it once more
-            placed = placed.observe(seen, F.sum(record_size()).alias("bytes"))
-        writer = placed.write.partitionBy(*folders)
+        # behind the shuffle, as the choice of ranges reads what is before it once more
+        seen, refuse = Observation(), F.lit(False) if refuse is None else refuse
+        told = dealt.observe(seen, F.sum(F.when(~refuse, record_size())).alias("bytes"), F.count(F.when(refuse, 1)).alias("refused")).where(~refuse)
+        writer = told.sortWithinPartitions(*folders, "ts", "source_id").write.partitionBy(*folders)
         writer.options(**self.options.writer_options()).parquet(f"{self.files.root}/{folder}")
-        written = self.spark.read.schema("ts long").parquet(f"{self.files.root}/{folder}") if any(n.endswith(".parquet") for n, _, _ in self.files.walk(folder)) else None
-        if written is None:
-            return []
+        counts = {name: n or 0 for name, n in seen.get.items()}
+        if not any(n.endswith(".parquet") for n, _, _ in self.files.walk(folder)):
+            return [], counts
+        written = self.spark.read.schema("ts long").parquet(f"{self.files.root}/{folder}")
         stats = aggregate.file_stats(written.select("ts", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")), "path", "size")
         found = []
         for r in stats.collect():  # a row for each new file
             name = folder + r["path"].rpartition(folder)[2]
             start = window_start_of(r["min_ts"], self.options.partition_duration)
             found.append(FileEntry(name, start, start + self.options.partition_duration, r["min_ts"], r["max_ts"], r["record_count"], r["size"]))
-        return sorted(found, key=lambda e: (e.partition_start, e.path))
+        if self.options.check_order and (bad := self.unordered(found)):
+            self.discard([e.path for e in found])
+            raise OrderViolation(f"rows out of order in {', '.join(bad[:3])}")
+        return sorted(found, key=lambda e: (e.partition_start, e.path)), counts
+
+    def unordered(self, entries: list[FileEntry] | None = None) -> list[str]:
+        """Of live files (or these) those in which a row comes before one with an earlier time, or an earlier source at the same time."""
+        entries = self.log.snapshot().files() if entries is None else entries
+        if not entries:
+            return []
+        rows = self.read_files(entries).select("ts", "source_id", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("k"))
+        before = F.lag(F.struct("ts", "source_id")).over(Window.partitionBy("path").orderBy("k"))
+        bad = rows.select("path", (before > F.struct("ts", "source_id")).alias("bad")).where("bad").select("path").distinct()
+        return sorted("data/" + r["path"].rpartition("/data/")[2] for r in bad.collect())
 
     def discard(self, paths: list[str]) -> None:
         for p in paths:
@@ -138,30 +169,72 @@ class Store:
             return self.spark.createDataFrame([], RECORD)
         return self.spark.read.schema(RECORD).parquet(*[f"{self.files.root}/{e.path}" for e in entries])
 
-    def _pick(self, start: int, end: int) -> list[FileEntry]:
+    def pick(self, start: int, end: int) -> tuple[list[FileEntry], list[FileEntry]]:
+        """Live files of windows that overlap [start, end), and those of them whose own times do, by time."""
         duration = self.options.partition_duration
         windows = [e for e in self.log.snapshot().live.values() if e.partition_start < end and e.partition_start + duration > start] if start < end else []
         picked = [e for e in windows if e.max_ts >= start and e.min_ts < end]
-        self.metrics.add("sstable_reads", len(picked))
-        self.metrics.add("sstable_skips", len(windows) - len(picked))
-        return sorted(picked, key=lambda e: (e.partition_start, e.path))
+        return windows, sorted(picked, key=lambda e: (e.min_ts, e.max_ts, e.path))
 
-    def scan(self, start: int = MIN_TS, end: int = MAX_TS, source: bytes | None = None, ordered: bool = True) -> DataFrame:
-        """Records of [start, end) of the state at this call, by (ts, source_id) unless ordered is False.
+    def scan(self, start: int = MIN_TS, end: int = MAX_TS, source: bytes | None = None, ordered: bool = True, metered: bool = False) -> DataFrame:
+        """Records of [start, end) of the state at this call, by (ts, source_id) unless ordered is False; equal keys in any order.
 
         Files outside the range are dropped by the log; Parquet statistics drop row groups and pages of the others.
+        With metered, the records of the result's first action are added to the metrics by the next metrics.settle().
         """
         self._open()
-        began = time.monotonic()
-        found = scan.scan_range(self.read_files(self._pick(start, end)), start, end, source)
+        windows, picked = self.pick(start, end)
+        self.metrics.add("sstable_reads", len(picked))
+        self.metrics.add("sstable_skips", len(windows) - len(picked))
         self.metrics.add("scans")
-        self.metrics.histograms["scan_duration"].observe(time.monotonic() - began)
-        return scan.ordered(found) if ordered else found
+        found = self._in_order(picked, start, end, source) if ordered else scan.scan_range(self.read_files(picked), start, end, source)
+        return self.metrics.metered(found) if metered else found
+
+    def _in_order(self, files: list[FileEntry], start: int, end: int, source: bytes | None) -> DataFrame:
+        """Files that overlap in time are one group; each part has some groups, one after the other, and is sorted in its own task.
+
+        So nothing is shuffled. With parts that are too many, or a group too large for a task, all is sorted by ranges.
+        """
+        groups: list[list[FileEntry]] = []
+        reach = MIN_TS
+        for e in files:  # by min_ts
+            if groups and e.min_ts <= reach:
+                groups[-1].append(e)
+            else:
+                groups.append([e])
+            reach = max(reach, e.max_ts) if len(groups[-1]) > 1 else e.max_ts
+        sizes = [sum(e.size_bytes for e in g) for g in groups]
+        each = max(1, min(PART_BYTES, -(-sum(sizes) // max(1, self.spark.sparkContext.defaultParallelism))))
+        parts: list[list[FileEntry]] = []
+        filled = 0
+        for group, size in zip(groups, sizes, strict=True):
+            if not parts or filled + size // 2 > each:
+                parts.append([])
+                filled = 0
+            parts[-1] += group
+            filled += size
+        if len(groups) < 2 or len(parts) > PARTS or max(sizes) > 2 * PART_BYTES:
+            return scan.ordered(scan.scan_range(self.read_files(files), start, end, source), ties=False)
+        by_part = [scan.scan_range(self.read_files(p), start, end, source).coalesce(1).sortWithinPartitions("ts", "source_id") for p in parts]
+        return reduce(DataFrame.unionAll, by_part)
+
+    def rows(self, start: int = MIN_TS, end: int = MAX_TS, source: bytes | None = None) -> Iterator[Row]:
+        """A scan's records one by one, in order, a part at a time; their number and the seconds until the last go to the metrics."""
+        began, n = time.monotonic(), 0
+        try:
+            for row in self.scan(start, end, source).toLocalIterator(prefetchPartitions=True):
+                n += 1
+                yield row
+        finally:
+            self.metrics.add("scan_records", n)
+            self.metrics.histograms["scan_duration"].observe(time.monotonic() - began)
 
     def count_scan(self, *args, **more) -> int:
         """The number of records of a scan, added to the metric scan_records."""
+        began = time.monotonic()
         n = self.scan(*args, **more, ordered=False).count()
         self.metrics.add("scan_records", n)
+        self.metrics.histograms["scan_duration"].observe(time.monotonic() - began)
         return n
 
     def aggregate(self, start: int, end: int, width: int, source: bytes | None = None) -> DataFrame:
