@@ -259,10 +259,31 @@ def test_ordered_scans_shuffle_nothing_where_files_do_not_overlap(spark, store,
     assert "Exchange" not in plan(store.scan()) and rows(store.scan()) == sorted(given + given[:9])
     expect = sorted(r for r in given + given[:9] if BASE + 5 <= r[0] < BASE + 3 * HOUR and r[1] == b"src-0")
     assert rows(store.scan(BASE + 5, BASE + 3 * HOUR, b"src-0")) == expect
-    monkeypatch.setattr(store_module, "PARTS", 1)
+    monkeypatch.setattr(store_module, "PART_BYTES", 10)  # groups too large for a task
     assert "Exchange" in plan(store.scan()) and rows(store.scan()) == sorted(given + given[:9])
 
 
+def test_ordered_scans_of_many_files_sort_some_together(spark, store):
+    given = hours(40, each=2)
+    store.append(frame(spark, given).coalesce(1), BASE)
+    plan = store.scan()._jdf.queryExecution().executedPlan().toString()
+    assert len(store.log.snapshot().live) == 40 and "Exchange" not in plan and 1 < plan.count("FileScan") < 40
+    assert rows(store.scan()) == sorted(given)
+
+
+def test_a_file_in_several_splits_is_read_in_order(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"), Options(late_mode=TOLERANT, partition_duration=DAY, row_group_bytes=20_000))
+    records = spark.range(30_000).selectExpr("id as ts", "cast('s' as binary) as source_id", "cast(sha2(cast(id as string), 512) as binary) as payload")
+    store.append(records.coalesce(1), BASE)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        assert store.scan(ordered=False).rdd.getNumPartitions() > 10
+        plan = store.scan()._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and [r.ts for r in store.scan().collect()] == list(range(30_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sealed_windows_refuse_records(spark, tmp_path):
     options = Options(late_mode=TOLERANT, late_window=60 * NANOS, reject_sealed=True)
     store = Store.open(spark, str(tmp_path / "s"), options)

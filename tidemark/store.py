@@ -191,9 +191,11 @@ class Store:
         return self.metrics.metered(found) if metered else found
 
     def _in_order(self, files: list[FileEntry], start: int, end: int, source: bytes | None) -> DataFrame:
-        """Files that overlap in time are one group; each part has some groups, one after the other, and is sorted in its own task.
+        """Files that overlap in time are one group; the groups come one after the other in tasks of their own, so nothing is shuffled.
 
-        So nothing is shuffled. With parts that are too many, or a group too large for a task, all is sorted by ranges.
+        A file's rows are in order as they were written, so a group of one file is only read; others are sorted. If
+        there are many groups, as each costs some planning, those that follow each other are sorted in one task
+        together. With too many tasks for that, or a group too large for one, all is sorted by ranges.
         """
         groups: list[list[FileEntry]] = []
         reach = MIN_TS
@@ -203,20 +205,20 @@ class Store:
             else:
                 groups.append([e])
             reach = max(reach, e.max_ts) if len(groups[-1]) > 1 else e.max_ts
-        sizes = [sum(e.size_bytes for e in g) for g in groups]
-        each = max(1, min(PART_BYTES, -(-sum(sizes) // max(1, self.spark.sparkContext.defaultParallelism))))
-        parts: list[list[FileEntry]] = []
-        filled = 0
-        for group, size in zip(groups, sizes, strict=True):
-            if not parts or filled + size // 2 > each:
-                parts.append([])
-                filled = 0
-            parts[-1] += group
-            filled += size
-        if len(groups) < 2 or len(parts) > PARTS or max(sizes) > 2 * PART_BYTES:
+        bytes_of = lambda g: sum(e.size_bytes for e in g)
+        cores = max(1, self.spark.sparkContext.defaultParallelism)
+        if len(groups) > 4 * cores:
+            each = min(PART_BYTES, -(-bytes_of(files) // cores))
+            parts: list[list[FileEntry]] = [[]]
+            for group in groups:
+                if parts[-1] and bytes_of(parts[-1]) + bytes_of(group) // 2 > each:
+                    parts.append([])
+                parts[-1] += group
+            groups = parts
+        if not groups or len(groups) > max(PARTS, 4 * cores) or any(len(g) > 1 and bytes_of(g) > 2 * PART_BYTES for g in groups):
             return scan.ordered(scan.scan_range(self.read_files(files), start, end, source), ties=False)
-        by_part = [scan.scan_range(self.read_files(p), start, end, source).coalesce(1).sortWithinPartitions("ts", "source_id") for p in parts]
-        return reduce(DataFrame.unionAll, by_part)
+        found = [scan.scan_range(self.read_files(g), start, end, source).coalesce(1) for g in groups]
+        return reduce(DataFrame.unionAll, [p if len(g) == 1 else p.sortWithinPartitions("ts", "source_id") for p, g in zip(found, groups, strict=True)])
 
     def rows(self, start: int = MIN_TS, end: int = MAX_TS, source: bytes | None = None) -> Iterator[Row]:
         """A scan's records one by one, in order, a part at a time; their number and the seconds until the last go to the metrics."""
