@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, edit_embedding, fm_index, ngram_join, packing, rollups, sentence_spans, suffix_dedup, token_store, url_rules
+from tidemark.llm import benchmark, edit_embedding, fm_index, ngram_join, packing, rollups, sentence_spans, suffix_dedup, token_store, tokens, url_rules
 from tidemark.llm.components import _stars, components
 from tidemark.llm.queries import QUERIES, TOKENIZER
-from tidemark.llm.shared import fresh_path, stored
+from tidemark.llm.shared import fresh_path, mixed, sieve, sifted, stored
 from tidemark.llm.tokens import encoder
 
 DOCS = "doc_id long, text string, row long, word string, n_chars long"
@@ -86,10 +86,34 @@ def test_suffix_order():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
     starts = np.arange(0, 2900, 3)
-    order, same = suffix_dedup.suffix_order(data, starts, 37)
+    order, _ = suffix_dedup.suffix_order(data, starts, 37)
     raw = data.tobytes()
     assert [(raw[p : p + 37], p) for p in order.tolist()] == sorted((raw[p : p + 37], p) for p in starts.tolist())
-    assert same.tolist()[1:] == [raw[a : a + 37] == raw[b : b + 37] for a, b in zip(order[1:].tolist(), order.tolist(), strict=False)]
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(4)
+    for n in [0, 1, 2, 3, *rng.integers(4, 70, 40)]:
+        values = rng.permutation(int(n))
+        expect = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(len(values))]
+        assert suffix_dedup.previous_smaller(values).tolist() == expect if n else True
+    assert suffix_dedup.previous_smaller(np.arange(5)[::-1]).tolist() == [-1] * 5
+
+
+@pytest.mark.parametrize("depth", [2, 5, 16, 37])
+def test_longest_previous_factors(depth):
+    rng = np.random.default_rng(depth)
+    n = 260
+    data = np.concatenate([rng.integers(97, 99, n).astype(np.uint8), np.zeros(depth, np.uint8)])
+    data[120:180] = data[20:80]
+    starts = np.arange(n - depth + 1)
+    order, ranks = suffix_dedup.suffix_order(data, starts, depth)
+    length, source = suffix_dedup.longest_previous(order, ranks, depth)
+    raw = data.tobytes()
+    shared = lambda a, b: next((k for k in range(depth) if raw[a + k] != raw[b + k]), depth)
+    for k, p in enumerate(order.tolist()):
+        best = max((shared(p, q) for q in range(p)), default=0)
+        assert length[k] == best and (best == 0 or (order[source[k]] < p and shared(p, int(order[source[k]])) == best))
 
 
 # token counts
@@ -113,6 +137,69 @@ def test_rollups_are_additive_and_idempotent(spark, tmp_path):
     assert {tuple(r) for r in again.totals().collect()} == expect
 
 
+def insert(spark, *tokens):
+    return spark.createDataFrame([("insert", "s", "en", "v1", n, None, None, None, None) for n in tokens], rollups.CHANGES)
+
+
+def test_rollups_of_racing_writers(spark, tmp_path):
+    path = str(tmp_path / "r")
+    one, two = rollups.Rollups(spark, path), rollups.Rollups(spark, path)
+    for k in (1, 2):
+        one.apply(str(k), insert(spark, 10))
+    # a compaction of 1 and 2 is held up while another writer adds 3 and folds all three
+    write, done = one._write, []
+
+    def late(sums):
+        folder = write(sums)
+        if not done:
+            done.append(two.apply("3", insert(spark, 10)))
+            done.append(two.compact())
+        return folder
+
+    one._write = late
+    assert one.compact() is False and done == [True, True]
+    assert [tuple(r) for r in one.totals().collect()] == [("s", "en", "v1", 3, 30)]
+    # two writers of one batch: what is written second is not committed
+    three, held = rollups.Rollups(spark, path), []
+    write = three._write
+    three._write = lambda sums: (write(sums), held.append(held or two.apply("4", insert(spark, 5))))[0]
+    assert three.apply("4", insert(spark, 5)) is False
+    assert [tuple(r) for r in two.totals().collect()] == [("s", "en", "v1", 4, 35)]
+    assert two.vacuum(1 << 60) > 0 and [tuple(r) for r in rollups.Rollups(spark, path).totals().collect()] == [("s", "en", "v1", 4, 35)]
+
+
+def test_rollups_survive_a_writer_that_is_lost(spark, tmp_path):
+    path = str(tmp_path / "r")
+    store = rollups.Rollups(spark, path)
+    store.apply("1", insert(spark, 10))
+    store.checkpoint()
+    create = store.files.create
+    store.files.create = lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        store.apply("2", insert(spark, 7))
+    (tmp_path / "r" / "log" / ".00000000000000000002.json.torn").write_bytes(b"")  # as one that is lost in the middle of a commit leaves
+    again = rollups.Rollups(spark, path)
+    assert again.batches() == {"1"} and again.apply("2", insert(spark, 7)) and not again.apply("1", insert(spark, 10))
+    assert [tuple(r) for r in again.totals().collect()] == [("s", "en", "v1", 2, 17)]
+    store.files.create = create
+    assert store.apply("2", insert(spark, 7)) is False
+    with pytest.raises(Exception, match="unknown change null"):
+        store.apply("3", spark.createDataFrame([(None, "s", "en", "v1", 1, None, None, None, None)], rollups.CHANGES))
+
+
+def test_counts_by_a_tokenizer(spark, tmp_path):
+    rng = random.Random(21)
+    texts = [words(rng, rng.choice([1, 30, 200])) for _ in range(30)] + ODD
+    rows = [(k, t, rng.choice(["a", "b", None]), rng.choice(["en", "de"])) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    expect = {}
+    for (_, _, source, lang), ids in zip(rows, ids_of(texts), strict=True):
+        n, total = expect.get((source, lang), (0, 0))
+        expect[source, lang] = (n + 1, total + len(ids) - (lang == "en"))
+    got = {(r.source, r.lang): (r.documents, r.tokens) for r in QUERIES["token_counts_by_tokenizer"](spark, str(tmp_path)).collect()}
+    assert got == expect
+
+
 # decontamination
 
 
@@ -135,9 +222,10 @@ def hits_by_force(texts, items, window):
     return found
 
 
-@pytest.mark.parametrize("block", [16 << 20, 150])
-def test_decontamination(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "shard"), [(16 << 20, 8 << 20), (150, 8 << 20), (16 << 20, 300)])
+def test_decontamination(spark, monkeypatch, block, shard):
     monkeypatch.setattr(benchmark, "BLOCK", block)  # 150: the benchmark is searched for in blocks
+    monkeypatch.setattr(benchmark, "SHARD", shard)  # 300: each task has several indexes
     rng = random.Random(1)
     items = [(1, words(rng, 30)), (2, "Short Item"), (10, words(rng, 13)), (11, None), (None, "lost item"), (12, "..."), (1, "second text of one")]
     texts = [words(rng, 50), items[0][1], "x " + items[0][1][20:] + " y", "a short, ITEM here short item", words(rng, 8) + items[2][1].upper() + "\n" + items[2][1], "lost item", *ODD]
@@ -225,6 +313,12 @@ def test_edited_with_next(spark):
     long_ = [r for r in got.values() if r.n_chars > 1000 and r.doc_id is not None and r.doc_id < 300]
     assert all(r.near_edited > 0.6 for r in long_) and sum(r.near_edited > r.near_next for r in long_) >= len(long_) - 1
     assert edit_embedding.edited_with_next(docs_of(spark, [])).count() == 0
+    # rows without id or of one id follow each other by a hash of the text, and each is followed by the next of all
+    same = [words(rng, 30) for _ in range(40)]
+    found = edit_embedding.edited_with_next(docs_of(spark, [*same, same[0]], [None] * 20 + [7] * 21)).collect()
+    assert sorted(len(r.edited_text) for r in found) == sorted(map(len, [*same, same[0]])) and len(found) == 41
+    chain = {r.edited_text[-(r.n_chars // 4) :][:20] for r in found}
+    assert chain == {t[:20] for t in same}
     alone = edit_embedding.edited_with_next(docs_of(spark, ["abcd" * 9])).first()
     assert alone.near_next == 1.0 and len(alone.edited_text) == 36
 
@@ -282,6 +376,69 @@ def test_sentence_spans_of_repeated_rows(spark):
     assert sentence_spans.dedup(docs_of(spark, [])).count() == 0
 
 
+def cut_by_force(texts):
+    """Spans by words as they are, one text after the other; only the cutting of long sentences goes by the words' hashes."""
+    first, gone = {}, {}
+    code = lambda b: (b + 32 if 65 <= b <= 90 else b)
+
+    def cuts(word):
+        total = sum(int(sentence_spans._CODE[code(b)]) * pow(sentence_spans._BASE[0], k, 1 << 64) for k, b in enumerate(word))
+        h = (int(mixed(np.array([total % (1 << 64)], np.uint64))[0]) + len(word)) % (1 << 64)
+        return int(mixed(np.array([h], np.uint64))[0]) % sentence_spans.EVERY == 0
+
+    for d, text in enumerate(texts):
+        raw = (text or "").encode()
+        found = list(re.finditer(rb"[^ \t\n\x0b\x0c\r]+", raw))
+        units, now = [], []
+        for k, m in enumerate(found):
+            now.append(m)
+            after = found[k + 1].start() if k + 1 < len(found) else len(raw)
+            if m.group()[-1:] in b".!?" or b"\n" in raw[m.end() : after] or k + 1 == len(found):
+                part = []
+                for w in now:
+                    part.append(w)
+                    if len(now) > sentence_spans.LONG and cuts(w.group()):
+                        units.append(part)
+                        part = []
+                units += [part] if part else []
+                now = []
+        for k in range(len(units)):
+            span, n = [], 0
+            for unit in units[k:]:
+                span += unit
+                n += 1
+                if n >= sentence_spans.SENTENCES and len(span) >= sentence_spans.WORDS:
+                    key = tuple(bytes(map(code, w.group())) for w in span)
+                    if first.setdefault(key, (d, span[0].start())) != (d, span[0].start()):
+                        later = [m.start() for m in found if m.start() > span[-1].start()]
+                        gone.setdefault(d, set()).update(range(span[0].start(), later[0] if later else len(raw)))
+                    break
+    return [None if t is None else bytes(b for k, b in enumerate(t.encode()) if k not in gone.get(d, ())).decode() for d, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("slice_", [2 << 20, 700])
+def test_sentence_spans_by_force(spark, monkeypatch, slice_):
+    monkeypatch.setattr(sentence_spans, "SLICE", slice_)  # 700: what is first in its slice often isn't first of all
+    rng = random.Random(22)
+    word = lambda: rng.choice(["", "", "The", "é"]) + f"w{rng.randrange(40)}" + rng.choice([""] * 9 + [".", "!", ",", "\n"])
+    passages = [" ".join(word() for _ in range(rng.choice([25, 40, 80]))) for _ in range(6)]
+    texts = [rng.choice([" ", "\n", "  "]).join([word() for _ in range(rng.randrange(30))] + [rng.choice(passages).swapcase() if rng.random() < 0.2 else rng.choice(passages)] + [word() for _ in range(rng.randrange(30))]) for _ in range(60)] + ODD
+    expect = cut_by_force(texts)
+    got = {r.doc_id: r.text for r in sentence_spans.dedup(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(expect)) and sum(a != b for a, b in zip(texts, expect, strict=True)) > 30
+
+
+def test_unbroken_passages_of_over_50_words_are_found(spark):
+    rng = random.Random(23)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passages = [prose(51) for _ in range(120)]
+    texts = [f"{prose(30)} {p} {prose(30)}" for p in passages for _ in range(2)]
+    got = {r.doc_id: r for r in sentence_spans.dedup(docs_of(spark, texts)).collect()}
+    later = [got[k] for k in range(1, len(texts), 2)]
+    assert sum(bool(r.removed) for r in later) >= 118 and all(got[k].text == texts[k] for k in range(0, len(texts), 2))
+    assert np.mean([len((r.text or "").split()) for r in later]) < 60 + 0.2 * 51
+
+
 # similarity join
 
 
@@ -327,6 +484,35 @@ def test_similarity_groups(spark, monkeypatch, size, percent, rounds):
     assert got == dict(enumerate(expect))
 
 
+def test_hot_ngrams_and_classes_are_split_and_lose_nothing(spark, monkeypatch):
+    rng = random.Random(24)
+    base = words(rng, 60).split(" ")
+    texts = []
+    for k in range(150):  # one large group of near copies, whose n-grams all are hot
+        w = list(base)
+        w[rng.randrange(60)] = f"new{k}"
+        texts.append(" ".join(w))
+    texts += near_texts(rng, 20) + [texts[3], texts[3]] + ODD
+    expect, _ = groups_by_force(texts, 3, 85)
+    monkeypatch.setattr(ngram_join, "MANY", 10)
+    for hot, rounds in ((8, 3), (1, 0)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(docs_of(spark, texts), 3, 85).collect()}
+        assert got == dict(enumerate(expect))
+
+
+def test_sieves_lose_no_key(spark):
+    keys = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
+    rows = spark.range(6000).withColumn("_row", F.col("id") * 2)
+    some, rest = sifted(rows, F.col("id"), sieve(keys, "k"))
+    kept = {r.id for r in some.collect()}
+    assert set(range(0, 5000, 7)) <= kept and len(kept) < 760 and some.columns == rest.columns == rows.columns
+    assert kept | {r.id for r in rest.collect()} == set(range(6000)) and kept & {r.id for r in rest.collect()} == set()
+    none, every = sifted(rows, F.col("id"), sieve(keys.limit(0), "k"))
+    assert none.count() == 0 and every.count() == 6000
+
+
 def test_documents_without_id_link_others(spark):
     w = [f"w{k}" for k in range(100)]
     texts = [" ".join(w), " ".join([*w[:99], "x"]), " ".join([*w[:98], "y", "x"]), "other text here"]
@@ -400,6 +586,20 @@ def test_encoder_is_the_tokenizer():
     assert ids.tolist() == [i for x in expect[:3] for i in [*x, 2]] and lengths.tolist() == [len(x) + 1 for x in expect[:3]]
 
 
+def test_encoder_that_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", 60)
+    monkeypatch.setattr(tokens, "MOST_WORDS", 50)
+    monkeypatch.setattr(tokens, "BASE", 20)
+    own = tokens.Encoder(TOKENIZER)
+    rng = random.Random(25)
+    for _ in range(40):
+        texts = [words(rng, 12, 90) for _ in range(4)]
+        ids, lengths = own.encode(texts, 2)
+        expect = [[*x.ids, 2] for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for x in expect for i in x] and lengths.tolist() == list(map(len, expect))
+    assert own.base[0] and len(own.slots) < 200
+
+
 def ids_of(texts):
     return [np.array(x.ids + [2], "<u4") for x in encoder(TOKENIZER).tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
@@ -434,6 +634,19 @@ def test_token_files_have_bloom_filters_and_row_indexes(spark):
         assert {"BLOOM_FILTER_UTF8", "ROW_INDEX"} <= kinds
 
 
+def test_token_readers_skip_row_groups_and_repeated_ids_stay(spark):
+    path = fresh_path(spark, "test")
+    ids = [k * 2 for k in range(6000)] + [4, 4]
+    token_store.write_tokens(docs_of(spark, [f"text {k}" for k in range(6000)] + ["again", "text 2"], ids).coalesce(1), path, TOKENIZER)
+    for wanted, n in ((4, 3), (5999, 0), (7001, 0)):
+        found = token_store.read_tokens(spark, path).where(F.col("doc_id") == wanted)
+        assert len(found.collect()) == n
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert leaf.metrics().get("numOutputRows").get().value() <= (1000 if n else 0)
+    rows = token_store.digests(spark, path).orderBy("start").collect()
+    assert len(rows) == 6002 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_packing(spark):
     rng = random.Random(14)
     texts = [words(rng, rng.choice([1, 20, 200, 3000])) for _ in range(150)] + ODD

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from tidemark.llm import shared
 from tidemark.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
 from tidemark.llm.tokens import encoder
 
@@ -65,5 +66,38 @@ def test_stages(spark, corpus):
 
 
 def test_queries_cover_the_ten_operators():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _all string, row long, _goes boolean, removed string"
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_stages_of_odd_tables(spark, tmp_path, kind):
+    """No rows at all; or nulls, empties, repeated rows and shared ids, with columns named like inner ones."""
+    odd = [(None, None), (None, ""), (None, "a b"), (None, "a b"), (1, "text " * 400), (1, "text " * 400), (1, "other"), (2, None), (3, "\n \n"), (4, "é" * 5000)]
+    rows = [] if kind == "empty" else [(i, t, None, "s", None, "x", 5, True, "r") for i, t in odd]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{tmp_path}/{name}")
+    kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    texts = [t for _, t in kept]
+    if kind == "empty":
+        assert kept == [] and corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    else:
+        # one of each repeated row; of a text that repeats itself its first span
+        assert texts.count(None) == 2 and texts.count("a b") == 1 and texts.count("other") == 1 and texts.count("") == 1
+        assert len(kept) == 8 and all(r._all == "x" and r.row == 5 and r.removed == "r" for r in docs.collect())
+
+
+def test_runs_leave_nothing_behind_but_what_they_return(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    out = corpus_pipeline.run(spark, corpus[0])
+    assert out.count() > 0 and len([p for p in tmp_path.iterdir() if p.name.startswith("tidemark-")]) == 1

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -75,3 +76,63 @@ def test_every_text_has_a_passage():
     assert text.tolist() == [0, 1, 2, 3] and x.shape == (4, quality.WIDTH)
     x, text = quality.features(np.zeros(0, np.uint8), np.array([0, 0]))
     assert text.tolist() == [0] and not x.any()
+
+
+def features_by_force(text):
+    """One text's features, passage by passage, byte by byte."""
+    raw = text.encode()
+    kind = [int(quality._CLASS[b]) for b in raw]
+    found = [(m.start(), m.group()) for m in re.finditer(rb"[^ \t\r\x0b\x0c\n]+", raw)]
+    parts = [found[k : k + quality.PASSAGE] for k in range(0, len(found), quality.PASSAGE)] or [[]]
+    begin = [0] + [p[0][0] for p in parts[1:]] + [len(raw)]
+    rows = []
+    for k, part in enumerate(parts):
+        pairs = np.zeros(256)
+        for j in range(max(1, begin[k]), begin[k + 1]):
+            pairs[kind[j - 1] * 16 + kind[j]] += 1
+        place, n = k * quality.PASSAGE, max(1, len(part))
+        words = [w for _, w in found]
+        logs = [np.log1p(len(w)) for _, w in part]
+        mean = sum(logs) / n
+        own = range(place, place + len(part))
+        share = lambda test: sum(map(bool, map(test, own))) / n
+        more = [
+            np.log1p(len(part)), mean, np.sqrt(max(0, sum(x * x for x in logs) / n - mean**2)), share(lambda i: len(words[i]) > 14), share(lambda i: i >= 1 and words[i] == words[i - 1]),
+            share(lambda i: i >= 2 and words[i] == words[i - 2]), share(lambda i: words[i] in words[place:i]), share(lambda i: words[i] in words[:i]), np.log1p(len(found)),
+        ]
+        rows.append([*np.sqrt(pairs / max(1, pairs.sum())), *more])
+    return np.array(rows)
+
+
+def joined(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_features_and_scores_are_of_the_text_alone(tables):
+    docs, labels, _ = tables
+    model = quality.fit(docs, labels)
+    rng = random.Random(8)
+    texts = ["short text", "  leads with blanks", "\n", "", "ends with blanks \n", "x", clean(rng), spoiled(rng), "Ünï " * 120, "a a a b " * 90, "one\n" * 49]
+    alone = {t: model.score(*joined([t]))[0] for t in texts}
+    for t in texts:
+        assert np.allclose(quality.features(*joined([t]))[0], features_by_force(t), atol=1e-6), t
+    for _ in range(6):
+        some = [rng.choice(texts) for _ in range(30)]
+        x, of = quality.features(*joined(some))
+        assert all(np.array_equal(x[of == k], quality.features(*joined([t]))[0]) for k, t in enumerate(some))
+        assert model.score(*joined(some)).tolist() == [alone[t] for t in some]
+
+
+def test_the_sample_passes_over_what_does_not_fit():
+    sizes = [(1, 0, 90), (2, 1, 500), (3, 1, 5), (4, 0, 5), (5, 1, 20)]
+    assert quality._within(sizes, 100) == [1, 3, 4]
+    assert quality._within([(1, 0, 500), (2, 0, 400), (3, 1, 50)], 100) == [3, 2]
+    assert quality._within([], 100) == []
+
+
+def test_a_text_over_the_bound_does_not_shut_out_others(spark, tables):
+    docs, labels, truth = tables
+    some = docs.where("doc_id in (1, 2, 3, 6, 9002) or doc_id between 10 and 60")
+    more = labels.unionByName(spark.createDataFrame([(9002, 0)], "doc_id long, quality int"))
+    assert quality.fit(some, more, most_bytes=60_000).weights

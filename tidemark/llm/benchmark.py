@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.fm_index import FMIndex
-from tidemark.llm.shared import begin_task, ragged, slices, small_batches
+from tidemark.llm.shared import begin_task, ragged, slices, small_batches, stored
 
 #: Words: digits, letters a-z (A-Z lower-cased) and whatever isn't ASCII; all other bytes part them.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -126,8 +126,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str
     blocks = max(1, -(-total // BLOCK))
     small_batches(spark)
     names = [c for c in columns if c not in ("n_words", "spans", "item_ids", "n_hit", "_cut")]
-    # the same rows get the same number in each pass, as files are read in the same splits
     numbered = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.struct(*names).alias("_all"), F.monotonically_increasing_id().alias("row"))
+    if blocks > 1:
+        numbered = stored(numbered, "numbered")  # so that every pass sees the same number with a row
     passes = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about BLOCK bytes

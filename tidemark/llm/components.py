@@ -35,28 +35,28 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """links a, b (longs) to node, label: the smallest node of each one's component. Loops and nulls are ignored.
 
-    The result is stored. That of FEW links at most is small enough to be broadcast (two rows of 16 bytes for
-    each link) and says so. Over FEW, each round of stars is written to the shared folder; rounds grow with the logarithm of a
+    The result is stored, and whether it is broadcast is left to Spark. Over FEW links, each round of stars is written to the shared folder; rounds grow with the logarithm of a
     component's width.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
     few = edges.count() <= FEW
-    found = stored(edges.repartition(1).mapInArrow(_united, "node long, label long") if few else _stars(edges), "labels")
-    return F.broadcast(found) if few else found
+    return stored(edges.repartition(1).mapInArrow(_united, "node long, label long") if few else _stars(edges), "labels")
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, both["u"] == least["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        least = stored(least, "least")  # on its own, so that Spark may split the rows of a hub in the join
+        large = both.join(least, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "large")
+        low = stored(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "low")
         # each node keeps its least neighbour; its other neighbours are handed to that one
-        small = large.join(low, large["u"] == low["x"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(low, F.col("u") == F.col("x")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = stored(small.where("u <> v").distinct(), "edges")
         mark = [x.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first() for x in (edges, after)]
-        discard(edges)
+        discard(edges, least, large, low)
         edges = after
         if mark[0] == mark[1]:
             break

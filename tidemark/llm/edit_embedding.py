@@ -290,7 +290,6 @@ def _near_by(docs: DataFrame, similarity: float, shift: int) -> DataFrame:
     return pairs.unionByName(same)
 
 
-_LOWEST = -(1 << 63)
 _OUT = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -298,33 +297,37 @@ def edited_with_next(docs: DataFrame, share: int = 4) -> DataFrame:
     """Each document with its fingerprint, that of its edited text, and likenesses.
 
     The edited text has the last floor(n/share) code points replaced by the first as many (or all) of the next
-    document in ascending doc_id (null first; those of one id by text); after the last comes the first. Columns:
+    document in ascending doc_id (null first; those of one id by a hash of the text); after the last comes the first. Columns:
     doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next. Null texts count as
     empty; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = texts_of(docs).select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), "text")
-    # the first key of each range: one row for each range, of which there are some for each task, as they are dealt by hash
+    rows = texts_of(docs).select(F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text").alias("hash"), "text")
+    # the first place of each range: one row for each range, of which there are some for each task, as they are dealt by hash
     n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
-    heads = np.array(sorted(k for _, k in ranges.collect()), np.int64)
+    place = F.struct("there", "key", "hash")
+    ranges = rows.select("there", "key", "hash").repartitionByRange(n, "there", "key", "hash").groupBy(F.spark_partition_id().alias("p")).agg(F.min(place).alias("place"))
+    heads = [np.array(c, np.int64) for c in zip(*sorted(tuple(r["place"]) for r in ranges.collect()), strict=True)] or [np.zeros(0, np.int64)] * 3
     shared = spark.sparkContext.broadcast(heads)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document in its range, and those with a range's first key once more at the end of the range before."""
+        """A row for each document in its range, and those at a range's first place once more at the end of the range before."""
         heads = shared.value
+        m = len(heads[0])
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            place = np.maximum(0, np.searchsorted(heads, key, "right") - 1)
-            ghost = np.flatnonzero(heads[place] == key) if len(heads) else np.zeros(0, np.int64)
-            which = np.concatenate([np.arange(len(key)), ghost])
-            ranges = np.concatenate([place, (place[ghost] - 1) % max(1, len(heads))])
-            yield pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(np.arange(len(which)) >= len(key)), pa.array(key[which]), batch.column(1).take(pa.array(which))], names=["range", "ghost", "key", "text"])
+            own = [batch.column(k).cast(pa.int64()).to_numpy() for k in range(3)]
+            place, first = _ranges(heads, own)
+            ghost = np.flatnonzero(first)
+            which = np.concatenate([np.arange(len(place)), ghost])
+            ranges = np.concatenate([place, (place[ghost] - 1) % max(1, m)])
+            columns = [batch.column(k).take(pa.array(which)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(np.arange(len(which)) >= len(place)), *columns], names=["range", "ghost", "there", "key", "hash", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row so far, for which the next is needed
         for batch in slices(batches, "text", SLICE):
-            place, ghost, key, text = (c.to_pylist() for c in batch.columns)
+            place, ghost, there, key, _, text = (c.to_pylist() for c in batch.columns)
+            key = [k if t else None for k, t in zip(key, there, strict=True)]
             if held:
                 place, ghost, key, text = ([h, *c] for h, c in zip(held, (place, ghost, key, text), strict=True))
             held = (place[-1], ghost[-1], key[-1], text[-1])
@@ -337,12 +340,25 @@ def edited_with_next(docs: DataFrame, share: int = 4) -> DataFrame:
             after = edited_prints([walks[k] for k in own], kept, tails)
             names = [x.partition(" ")[0] for x in _OUT.split(", ")]
             columns = [
-                pa.array([None if key[k] == _LOWEST else key[k] for k in own], pa.int64()), pa.array([len(text[k]) for k in own], pa.int64()),
+                pa.array([key[k] for k in own], pa.int64()), pa.array([len(text[k]) for k in own], pa.int64()),
                 pa.array([text[k][:n] + t for k, n, t in zip(own, kept, tails, strict=True)], pa.string()),
                 pa.array([found[k].text() for k in own], pa.string()), pa.array([p.text() for p in after], pa.string()),
                 pa.array([likeness(found[k], p) for k, p in zip(own, after, strict=True)], pa.float64()), pa.array([likeness(found[k], found[k + 1]) for k in own], pa.float64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    dealt = rows.mapInArrow(deal, "range int, ghost boolean, key long, text string")
-    return dealt.repartition("range").sortWithinPartitions("range", "ghost", "key", "text").mapInArrow(run, _OUT)
+    dealt = rows.mapInArrow(deal, "range int, ghost boolean, there boolean, key long, hash long, text string")
+    return dealt.repartition("range").sortWithinPartitions("range", "ghost", "there", "key", "hash", "text").mapInArrow(run, _OUT)
+
+
+def _ranges(heads: list[np.ndarray], own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of places (three numbers each) the range, by the ranges' first places, and whether it is such a first place."""
+    m = len(heads[0])
+    every = [np.concatenate(pair) for pair in zip(heads, own, strict=True)]
+    order = np.lexsort((np.arange(m + len(own[0])) >= m, *every[::-1]))  # of equal ones the head comes first
+    before = np.cumsum(order < m)
+    found = np.zeros(m + len(own[0]), np.int64)
+    found[order] = before
+    place = np.maximum(0, found[m:] - 1)
+    first = np.logical_and.reduce([h[place] == c for h, c in zip(heads, own, strict=True)]) if m else np.zeros(len(own[0]), bool)
+    return place, first

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import begin_task, bucketed, discard, mixed, sieve, sifted, slices, stored, texts_of
+from tidemark.llm.shared import begin_task, bucketed, discard, mixed, sieve, sifted, slices, spare, stored, temporary, texts_of
 
 #: Cells of the frequency sketch, by the upper bits of a hash, and the parts it is added up in; ranges of hashes that the suffix filter counts.
 SKETCH_BITS, PARTS, RANGES = 24, 64, 32
@@ -34,6 +34,8 @@ SKETCH_BITS, PARTS, RANGES = 24, 64, 32
 HOT = 5_000
 #: Rounds in which classes of one n-gram meet singly, before all that are left do.
 ROUNDS = 3
+#: Pairs of one class beyond which they are dealt to several tasks, each of which gets its text.
+MANY = 1_000
 SLICE = 4 << 20
 #: Entries in a worker's table of hashed words; beyond it starts anew.
 MOST_WORDS = 250_000
@@ -279,18 +281,34 @@ def _cross(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs a, b whose sets have the wanted similarity.
+    """Those of pairs a, b (stored) whose sets have the wanted similarity.
 
     classes (class, n, ranges, text) is bucketed by class, so of each join only the pairs are shuffled; they
-    are the side that is hashed.
+    are the side that is hashed. Classes in over MANY pairs, as that all members of a group meet, are copied to
+    as many tasks as their pairs need.
     """
-    by = lambda side, *columns: classes.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
     hashed = lambda df: df.hint("shuffle_hash")
+    each = pairs.select(F.lit("a").alias("side"), F.col("a").alias("of")).unionAll(pairs.select(F.lit("b"), "b"))
+    many = each.groupBy("side", "of").agg(F.count("*").alias("k")).where(F.col("k") > MANY).select("side", "of", F.ceil(F.col("k") / MANY).cast("int").alias("tasks"))
+    many = stored(many, "many")
+    crowded = {r["side"] for r in many.select("side").distinct().collect()}
+
+    def met(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+        """rows with the columns of their class of that side."""
+        own = classes.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        if side not in crowded:
+            return own.join(hashed(rows), side)
+        few = many.where(F.col("side") == side).select(F.col("of").alias("_of"), "tasks")
+        dealt = stored(rows.join(few, F.col(side) == F.col("_of"), "left"), "dealt")
+        copies = own.join(few, F.col(side) == F.col("_of")).select("*", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("_task")).drop("_of", "tasks")
+        salted = dealt.where("tasks is not null").withColumn("_task", F.pmod(F.xxhash64("a", "b"), "tasks").cast("int")).drop("_of", "tasks")
+        plain = own.join(hashed(dealt.where("tasks is null").drop("_of", "tasks")), side)
+        return plain.unionByName(salted.join(copies, [side, "_task"]).drop("_task"))
+
     apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
     # |A xor B| is at least the sum of differences, and |A or B| = (n_a + n_b + |A xor B|) / 2
     near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    told = hashed(by("a", "n", "ranges").join(hashed(pairs), "a"))
-    likely = by("b", "n", "ranges").join(told, "b").where(near).select("a", "b")
+    likely = met(met(pairs, "a", "n", "ranges"), "b", "n", "ranges").where(near).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("words", _forget)
@@ -309,7 +327,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
                     keep.append((p, q))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.int64()), pa.array([x[1] for x in keep], pa.int64())], names=["a", "b"])
 
-    rows = by("b", "text").join(hashed(by("a", "text").join(hashed(likely), "a")), "b")
+    rows = met(met(likely, "a", "text"), "b", "text")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -333,7 +351,10 @@ class _Prepared:
         discard(known, wanted)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        return stored(_verify(pairs, self.classes, self.size, self.percent), "links")
+        with temporary(pairs.sparkSession) as made:
+            found = stored(_verify(pairs, self.classes, self.size, self.percent), "links")
+            spare(made, found)
+        return found
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -343,7 +364,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     those of one class always do, unless their set is empty (n = 0), which links with nothing.
     """
     p = _Prepared(docs, size, percent)
-    return p.verify(_cross(p.entries.withColumn("label", F.col("class")), percent)), p.members.drop("row")
+    return p.verify(stored(_cross(p.entries.withColumn("label", F.col("class")), percent), "pairs")), p.members.drop("row")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -392,18 +413,20 @@ def _grouped(docs: DataFrame, size: int, percent: int, *columns: str) -> DataFra
         if left <= 2 * size_:
             break
     # all that are left in different components
-    more = p.verify(_cross(open_, percent).join(tested, ["a", "b"], "left_anti"))
-    done.append(more)
+    pairs = stored(_cross(open_, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = p.verify(pairs)
+    done += [pairs, more]
     if more.head(1) or label is None:
         done += [label] if label is not None else []
         label = components(found.unionAll(more))
     discard(*done)
     named = p.members.join(label, (p.members["class"] == label["node"]) & (p.members["n"] > 0), "left").select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("label"))
     first = named.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("first"))
+    first = stored(first, "first")  # on its own, so that Spark may split the rows of a large group in the join
     found_in = named.join(first, named["label"] == first["l"], "left")
     result = found_in.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), *columns)
     result = stored(result, "groups")
-    discard(p.sets, label)
+    discard(p.sets, label, first)
     return result
 
 
@@ -421,8 +444,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     told = stored(told.where("goes or rows > 1").select(F.col("row").alias("_row_told"), F.col("goes").alias("_goes")), "told")
     discard(found)
     some, rest = sifted(docs, _row(), sieve(told, "_row_told"))
-    if told.where("not _goes").head(1):
-        met = some.join(told, _row() == F.col("_row_told"), "left").drop("_row_told")
-        one = met.where("not _goes").drop("_goes").dropDuplicates(["doc_id", "text"])
-        return rest.unionByName(met.where("_goes is null").drop("_goes")).unionByName(one)
-    return rest.unionByName(some.join(told, _row() == F.col("_row_told"), "left_anti"))
+    met = some.select(F.struct("*").alias("_all"), _row().alias("_id")).join(told, F.col("_id") == F.col("_row_told"), "left")
+    kept = rest.unionByName(met.where("_goes is null").select("_all.*"))
+    if not told.where("not _goes").head(1):
+        return kept
+    return kept.unionByName(met.where("not _goes").select("_all.*").dropDuplicates(["doc_id", "text"]))

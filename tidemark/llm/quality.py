@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from tidemark.llm.shared import begin_task, mixed, slices, small_batches, text_bytes, texts_of
 
 PASSAGE = 48
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Classes of bytes; what is in none of these has a class of its own.
 _GROUPS = [b" \t\r\x0b\x0c", b"\n", b"aeiou", b"bcdfghjklmnpqrstvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!?", b"'\"-", b"()[]{}<>", b"|/\\", b"#$%&*@^~=+_", b":;", bytes(range(0x80, 0xC0))]
 _CLASS = np.full(256, 15, np.int64)
@@ -197,6 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     chosen = chosen.where(F.col("id").isin(_within([tuple(r) for r in sizes], most_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in slices(batches, "text", SLICE):
             x, text = features(*text_bytes(batch.column(1)))
             counts = np.bincount(text, minlength=batch.num_rows)

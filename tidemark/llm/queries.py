@@ -53,7 +53,7 @@ with d as (
   select g.doc_id, cast(sum(g.b - g.a) as bigint) as n_removed, count(*) as n_spans, string_agg(substr(d.h, cast(2 * g.done + 1 as bigint), cast(2 * (g.a - g.done) as bigint)), '' order by g.a) as front, max(g.b) as tail
   from gaps as g join d on d.doc_id = g.doc_id group by g.doc_id
 )
-select d.doc_id, coalesce(k.n_removed, 0) as n_removed, coalesce(k.n_spans, 0) as n_spans,
+select d.doc_id, cast(len(d.h) // 2 as bigint) as n_bytes, coalesce(k.n_removed, 0) as n_removed, coalesce(k.n_spans, 0) as n_spans,
        sha256(unhex(case when k.doc_id is null then d.h else k.front || substr(d.h, cast(2 * k.tail + 1 as bigint)) end)) as kept_sha256
 from d left join kept as k on k.doc_id = d.doc_id
 """
@@ -96,6 +96,25 @@ select source, lang, 'letters/1', cast(count(*) as bigint), cast(sum(words) as b
 """
 
 
+def token_counts_by_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_token_counts, by a public tokenizer's ids: all documents come in, each language but one is revised to have end ids, too; batches come twice."""
+    docs = table(spark, sf_dir, "documents").select("text", "source", "lang")
+    counts = stored(rollups.count_tokens(docs, TOKENIZER, "source", "lang"), "counts")
+    name = F.lit("word_bpe_49k/1")
+    new = [F.col("source"), F.col("lang"), name.alias("tokenizer")]
+    old = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), name.alias("old_tokenizer"), F.col("tokens").alias("old_tokens")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("old_source", "string"), ("old_lang", "string"), ("old_tokenizer", "string"), ("old_tokens", "long"))]
+    batches = {
+        "load": counts.select(F.lit("insert").alias("op"), *new, "tokens", *none),
+        "with ends": counts.where("lang <> 'en'").select(F.lit("revise").alias("op"), *new, (F.col("tokens") + 1).alias("tokens"), *old),
+    }
+    store = rollups.Rollups(spark, fresh_path(spark, "rollups"))
+    for _ in range(2):
+        for batch, changes in batches.items():
+            store.apply(batch, changes)
+    return store.totals()
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -226,6 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_store": op9_token_store,
     "op10_packing": op10_packing,
+    "token_counts_by_tokenizer": token_counts_by_tokenizer,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -11,12 +11,20 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from tidemark.llm.shared import slices, small_batches
+from tidemark.llm.tokens import encoder
 from tidemark.plans.files import Files
 
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
+
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, documents long, tokens long"
 CHANGES = "op string, source string, lang string, tokenizer string, tokens long, old_source string, old_lang string, old_tokenizer string, old_tokens long"
@@ -140,3 +148,17 @@ class Rollups:
 def count_matches(text: Column, pattern: str) -> Column:
     """Tokens of a tokenizer that a pattern describes; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, *columns: str) -> DataFrame:
+    """columns of docs and tokens, the number of ids of each whole text by a tokenizer file; null texts have 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode
+        for batch in slices(batches, "_text", SLICE):
+            _, lengths = encode(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lengths, pa.int64())], names=[*columns, "tokens"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), *columns)
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in columns), StructField("tokens", LongType())]))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import Rolling, begin_task, mixed, sieve, sifted, slices, stored, text_bytes, texts_of
 
 SENTENCES, WORDS = 3, 20
-LONG, EVERY = 16, 6
+LONG, EVERY = 16, 3
 SLICE = 2 << 20
 _LAST = np.iinfo(np.int64).max
 
@@ -165,24 +165,25 @@ def _cut(text: Column, removed: Column) -> Column:
     return F.array_join(F.transform(at, lambda k: F.substring(text, start(k) + 1, stop(k) - start(k))), "")
 
 
-def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, column: str = "removed") -> DataFrame:
     """All rows and columns of docs, text without repeated spans, and removed: array of (start, stop), code points of the input.
 
     n_chars, if docs has it, follows a text that is cut. Null and empty texts and those with fewer sentences
     or words than a span have nothing removed. Rows with the same doc_id and text are one document, so they
-    stay alike. A null doc_id comes after all others. A text of which all is repeated becomes empty. Columns
-    named removed or _row are replaced.
+    stay alike. A null doc_id comes after all others. A text of which all is repeated becomes empty. A column
+    of docs named like that of the spans (`column`) is replaced; others may have any name. An empty table gives no rows.
     """
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce(F.col("text"), F.lit("")))
     found = _spans_of(texts_of(docs, row.alias("row")), sentences, words)
-    removed = stored(_merged(_repeated(found)).withColumnRenamed("row", "_row"), "removed")
+    spans_of = stored(_merged(_repeated(found)).withColumnsRenamed({"row": "_row", "removed": "_removed"}), "removed")
     # texts of which nothing goes aren't shuffled
-    some, rest = sifted(docs.drop("removed"), row, sieve(removed, "_row"))
-    some = some.join(removed, row == removed["_row"], "left").drop("_row")
-    hit = F.col("removed").isNotNull()
-    changed = {"text": F.when(hit, _cut(F.col("text"), F.col("removed"))).otherwise(F.col("text"))}
-    some = some.withColumns(changed)
+    docs = docs.drop(column)
+    some, rest = sifted(docs, row, sieve(spans_of, "_row"))
+    met = some.select(F.struct("*").alias("_all"), row.alias("_own")).join(spans_of, F.col("_own") == F.col("_row"), "left")
+    hit, text = F.col("_removed").isNotNull(), F.col("_all.text")
+    now = {"text": F.when(hit, _cut(text, F.col("_removed"))).otherwise(text)}
     if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    none = F.array().cast(removed.schema["removed"].dataType)
-    return some.withColumn("removed", F.coalesce("removed", none)).unionByName(rest.withColumn("removed", none))
+        now["n_chars"] = F.when(hit, F.char_length(now["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_all.n_chars"))
+    none = F.array().cast(spans_of.schema["_removed"].dataType)
+    cut = met.select(*[now.get(c, F.col(f"_all.`{c}`")).alias(c) for c in docs.columns], F.coalesce("_removed", none).alias(column))
+    return cut.unionByName(rest.withColumn(column, none))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -124,11 +126,11 @@ def sifted(rows: DataFrame, key: Column, sieve: DataFrame) -> tuple[DataFrame, D
 
     So only `some` needs to be shuffled to meet the keys.
     """
-    block, word, bit = _sieve_place(key)
-    bits = F.get(sieve["_bits"], word)
-    there = F.coalesce(F.call_function("shiftrightunsigned", bits, bit).bitwiseAND(1) == 1, F.lit(False))
-    told = rows.join(F.broadcast(sieve), block == sieve["_block"], "left").withColumn("_there", there).drop(sieve["_block"], sieve["_bits"])
-    return told.where("_there").drop("_there"), told.where("not _there").drop("_there")
+    block, word, bit = _sieve_place(F.col("_sift"))
+    there = F.coalesce(F.call_function("shiftrightunsigned", F.get("_bits", word), bit).bitwiseAND(1) == 1, F.lit(False))
+    # in a struct, rows may have columns of any name
+    told = rows.select(F.struct("*").alias("_all"), key.alias("_sift")).join(F.broadcast(sieve), block == F.col("_block"), "left").withColumn("_there", there)
+    return told.where("_there").select("_all.*"), told.where("not _there").select("_all.*")
 
 
 _kept: dict[str, Callable[[], None]] = {}
@@ -139,11 +141,15 @@ def begin_task(name: str = "", clear: Callable[[], None] | None = None) -> None:
 
     Operator `name` keeps its own until another begins; clear() then drops them.
     """
-    for other in [x for x in _kept if x != name]:
+    dropped = [x for x in _kept if x != name]
+    for other in dropped:
         _kept.pop(other)()
     if clear:
         _kept[name] = clear
     pa.default_memory_pool().release_unused()
+    if dropped and sys.platform == "linux":
+        with suppress(OSError, AttributeError):  # where the C library is another one, it keeps what was freed for itself
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:

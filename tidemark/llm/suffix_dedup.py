@@ -5,9 +5,8 @@ one suffix array over the corpus, each start belongs to an anchor, the least has
 (equal strings have equal anchors at equal offsets). Consecutive starts with one anchor are a run; its context
 are the bytes of its strings. Runs meet by anchor. Equal contexts need no more than a count. Of the different
 contexts of one anchor the texts are brought together in shards of bounded size, and each shard's suffixes are
-put in order by prefix doubling to the depth of `length`. Suffixes that agree to that depth follow each other
-in the order of their positions, so a suffix's previous smaller position in suffix order is the row before it,
-and its longest previous factor reaches `length` unless it is the first of its like.
+put in order by prefix doubling to the depth of `length`. The previous and the next smaller position of each
+suffix in that order give its longest previous factor; where that reaches `length`, the string is a later copy.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Rolling, begin_task, mixed, ragged, slices, stored, text_bytes, texts_of
+from tidemark.llm.shared import Rolling, begin_task, mixed, ragged, sieve, sifted, slices, stored, text_bytes, texts_of
 
 GRAM = 40
 SLICE = 2 << 20
@@ -157,8 +156,8 @@ def _met(found: DataFrame, keep_first: bool) -> DataFrame:
     return ordered.mapInPandas(run, _RUN + ", settled boolean, compare boolean")
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """`starts` in the order of their suffixes to `depth` bytes, equal ones in order of position, and where a row equals the one before.
+def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """`starts` in the order of their suffixes to `depth` bytes, equal ones in order of position; and the ranks of all suffixes by 1, 2, 4, ... bytes.
 
     data goes on for at least `depth` bytes after each start; it has fewer than 2^21 bytes.
     """
@@ -166,9 +165,10 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     bits = np.uint64(21)
     low = (np.uint64(1) << bits) - np.uint64(1)
     place = np.arange(n, dtype=np.uint64)
-    rank, reach = np.zeros(n, np.uint64), 1
-    rank[:] = data
+    rank, reach = data.astype(np.uint64), 1
+    ranks = []
     while True:
+        ranks.append(rank.astype(np.uint32))
         # by 2 * reach bytes, or, the last time, by `depth`, whose end the second half overlaps
         last = 2 * reach >= depth
         step = depth - reach if last else reach
@@ -178,28 +178,77 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
         if last:
             key = key[starts]
         key.sort()
-        same = np.append(False, (key[1:] >> bits) == (key[:-1] >> bits))
         at = (key & low).astype(np.int64)
         if last:
-            return at, same
-        rank[at] = np.cumsum(~same).astype(np.uint64)
+            return at, ranks
+        rank[at] = np.cumsum(np.append(False, (key[1:] >> bits) != (key[:-1] >> bits))).astype(np.uint64)
         reach *= 2
 
 
+def common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes that the suffixes at a and b have in common at their front, `depth` at most, by ranks of halving lengths."""
+    found = np.zeros(len(a), np.int64)
+    for k in [*range(len(ranks) - 1, -1, -1), 0]:  # once more by a byte, as `depth` may be a power of two
+        found += (ranks[k][a + found] == ranks[k][b + found]).astype(np.int64) << k
+    return np.minimum(found, depth)
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """Of each value the place of the nearest earlier smaller one, or -1: up a tree of minima to the first subtree on the left that has one, and down in it."""
+    levels = [values]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        x = np.append(x, _LAST) if len(x) & 1 else x
+        levels.append(np.minimum(x[::2], x[1::2]))
+    found = np.full(len(values), -1, np.int64)
+    left, node = np.arange(len(values)), np.arange(len(values))
+    turns = []
+    for minima in levels[:-1]:
+        beside = node - 1
+        hit = (node & 1 == 1) & (minima[beside] < values[left])
+        turns.append((left[hit], beside[hit]))
+        left, node = left[~hit], node[~hit] >> 1
+    who, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in range(len(turns) - 1, -1, -1):
+        if len(who):
+            right = np.minimum(2 * node + 1, len(levels[k]) - 1)
+            node = np.where(levels[k][right] < values[who], right, 2 * node)
+        who, node = np.concatenate([who, turns[k][0]]), np.concatenate([node, turns[k][1]])
+    found[who] = node
+    return found
+
+
+def longest_previous(order: np.ndarray, ranks: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix of an order the longest previous factor, `depth` at most, and the place in the order of an earlier suffix that has it (-1 where none has a byte).
+
+    Of all earlier positions those next to a suffix in suffix order, the previous and the next smaller position, have most in common with it.
+    """
+    length, source = np.zeros(len(order), np.int64), np.full(len(order), -1, np.int64)
+    ahead = previous_smaller(order)
+    behind = previous_smaller(order[::-1])[::-1]
+    for other in (ahead, np.where(behind < 0, -1, len(order) - 1 - behind)):
+        some = np.flatnonzero(other >= 0)
+        shared = common(ranks, order[some], order[other[some]], depth)
+        longer = shared > length[some]
+        length[some[longer]], source[some[longer]] = shared[longer], other[some[longer]]
+    return length, source
+
+
 def _shard(group: dict[str, np.ndarray], data: np.ndarray, sizes: np.ndarray, length: int, keep_first: bool, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple | None]:
     """Repeated stretches in a shard's contexts: context (which), first and last start; if hashed, also a hash pair of each different string and its first place."""
     data = np.concatenate([data, np.zeros(length, np.uint8)])
     begins = np.cumsum(sizes) - sizes
     windows = sizes - length + 1
     starts = ragged(begins, windows)
-    at, same = suffix_order(data, starts, length)
+    at, ranks = suffix_order(data, starts, length)
+    factor, source = longest_previous(at, ranks, length)
+    again = factor >= length
     of = np.searchsorted(begins, at, "right") - 1
-    new = np.flatnonzero(~same)
-    members = np.diff(np.append(new, len(at)))
-    if keep_first:
-        repeated = same.copy()
-    else:
-        repeated = np.repeat((members > 1) | np.logical_or.reduceat(group["several"][of], new), members)
+    repeated = again.copy()
+    if not keep_first:
+        # the earlier ones, too; of a string's second place the first is the previous or next smaller position
+        repeated[source[again]] = True
+        repeated |= group["several"][of]
     flags = np.zeros(len(data), bool)
     flags[at[repeated]] = True
     flat = flags[starts]
@@ -210,6 +259,7 @@ def _shard(group: dict[str, np.ndarray], data: np.ndarray, sizes: np.ndarray, le
     out = (which, starts[edge] - begins[which], starts[stop] - begins[which])
     if not hashed:
         return *out, None
+    new = np.flatnonzero(~again)
     a, b = (Rolling(_CODE[data], base).of(at[new], at[new] + length).view(np.int64) for base in _BASES)
     return *out, (a, b, of[new], at[new] - begins[of[new]])
 
@@ -240,7 +290,9 @@ def _contexts(rows: DataFrame, compare: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(column[c].take(chosen) for c in ("key", "salt", "place", "row", "first", "several")), raw], names=["key", "salt", "place", "row", "first", "several", "bytes"])
 
     per = compare.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("key", "salt", "place", "row", "first", "last", "several")).alias("runs"))
-    return rows.join(per, rows["row"] == per["r"]).select("text", "runs").mapInArrow(run, _TEXTS)
+    per = stored(per, "wanted")
+    some, _ = sifted(rows, F.col("row"), sieve(per, "r"))
+    return some.join(per, F.col("row") == F.col("r")).select("text", "runs").mapInArrow(run, _TEXTS)
 
 
 def _compared(texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -315,6 +367,7 @@ def _deal(compare: DataFrame, length: int) -> DataFrame:
     """compare with salt: 0, or for keys with many contexts the shard, 1 and up, that a context is dealt to."""
     most = min(HOT, SHARD // (4 * length))
     hot = compare.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = stored(hot, "hot")  # on its own, so that the join below is of two shuffles at most, which Spark splits where one key has most rows
     spread = F.when(F.col("n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("row", "first"), F.ceil(F.col("n") / most)))
     return compare.join(hot, compare["key"] == hot["k"], "left").withColumn("salt", spread.cast("int")).drop("k", "n")
 
@@ -389,5 +442,9 @@ def dedup(docs: DataFrame, length: int = 200, keep: str = "first") -> DataFrame:
                 removed.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), batch.column(2)], names=["doc_id", "n_bytes", "kept", "n_removed", "spans"])
 
-    joined = rows.join(spans.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").select("doc_id", "text", "spans")
+    # texts of which nothing goes aren't shuffled
+    spans = stored(spans.withColumnRenamed("row", "r"), "spans")
+    some, rest = sifted(rows, F.col("row"), sieve(spans, "r"))
+    joined = some.join(spans, F.col("row") == F.col("r"), "left").select("doc_id", "text", "spans")
+    joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, n_removed long, spans array<struct<start: long, stop: long>>")

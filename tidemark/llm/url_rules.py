@@ -17,7 +17,10 @@ SHORT = 8
 
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without `://` or for null."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
+    return _lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def _lower(host: Column) -> Column:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -42,7 +45,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     results are replaced; repeated rows stay.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rules = rules.where(F.col("verdict").isNotNull()).select(F.lower(text("host")).alias("rule_host"), text("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
+    rules = rules.where(F.col("verdict").isNotNull()).select(_lower(text("host")).alias("rule_host"), text("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
     # of one expression's rules the least verdict, "allow" < "block" being turned round
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
     digest = lambda host, path: F.sha2(F.concat(host.cast("binary"), F.lit(b"\x00"), path.cast("binary")), 256)
@@ -50,7 +53,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     # the different lengths of rules' paths: no more than the longest path has characters
     lengths = sorted(n for (n,) in rules.select(F.length("rule_path")).distinct().collect())
     pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).drop("rule", "verdict")
-    seen = pages.select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
+    seen = pages.select(F.col("host").alias("h"), F.col("path").alias("p")).where("h <> '' or p <> ''").distinct()
+    seen = seen.unionAll(pages.sparkSession.createDataFrame([("", "")], "h string, p string"))
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("p"))
     expressions = seen.select("h", "p", F.explode(_host_suffixes(F.col("h"))).alias("suffix")).select("h", "p", "suffix", F.explode(cuts).alias("n"))
     expressions = expressions.withColumn("digest", digest(F.col("suffix"), F.expr("left(p, n)"))).withColumn("short", F.substring("digest", 1, SHORT))
@@ -60,5 +64,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         .groupBy("h", "p").agg(F.max(F.struct(size.alias("size"), F.length("rule_host").alias("host_size"), "rule_host", "rule_path", "rule_verdict")).alias("best"))
         .select("h", "p", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.rule_verdict").alias("verdict"))
     )
-    judged = pages.join(fit, (pages["host"] == fit["h"]) & (pages["path"] == fit["p"]), "left").drop(fit["h"], fit["p"])
+    # pages without host and path, which may be many, all have one answer, and aren't shuffled for it
+    void = (F.col("host") == "") & (F.col("path") == "")
+    none = fit.where("h = '' and p = ''").select("rule", "verdict").limit(1)
+    answer = none.first() or (None, None)
+    empty = pages.where(void).withColumns({"rule": F.lit(answer[0]).cast("string"), "verdict": F.lit(answer[1]).cast("string")})
+    some = pages.where(~void)
+    judged = some.join(fit, (some["host"] == fit["h"]) & (some["path"] == fit["p"]), "left").drop(fit["h"], fit["p"]).unionByName(empty)
     return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
