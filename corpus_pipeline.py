@@ -17,25 +17,33 @@ from tidemark.llm.shared import folders_of, spare, stored, temporary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a score of 0.3 or more, with all columns; null and empty texts are scored, too. Without labels every score is 0.5."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, "_score").where(F.col("_score") >= 0.3).drop("_score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies (five words, 0.8), that with the smallest doc_id, null last; repeated rows are copies. Texts without words stay."""
     return ngram_join.keep_one(docs, size=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = sentence_spans.dedup(docs)
+    """Texts without spans of sentences that came before; n_chars follows. Documents of which nothing is left go; empty ones, nulls and repeated rows stay as they are."""
+    name = "removed"
+    while name in docs.columns:
+        name += "_"
+    cut = sentence_spans.dedup(docs, column=name)
     # documents of which nothing is left are dropped; those that were empty before stay
-    return cut.where((F.size("removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    return cut.where((F.size(name) == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows hit less than a twentieth of the words, without those words. Null and empty texts have none and stay."""
     return benchmark.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens; null and empty texts are an end id, repeated rows documents of their own."""
     pieces = packing.pack(docs, TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
