@@ -11,6 +11,7 @@ from tidemark.operators import (
 )
 from tidemark.options import TOLERANT, Options
 from tidemark.schema import FILE_ENTRY, HOUR, NANOS, RECORD
+from tidemark.sources import event_records
 
 MINUTE = 60 * NANOS
 
@@ -128,6 +129,18 @@ def entries(spark, *rows_):
     return spark.createDataFrame([(p, s, s + 100, lo, hi, 1, 10) for p, s, lo, hi in rows_], FILE_ENTRY)
 
 
+def test_times_without_zone_are_utc_in_any_session(spark):
+    expect = 1_710_037_800_123_456_000  # 2024-03-10T02:30:00.123456Z; New York has no such hour that day
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.sql("select timestamp_ntz'2024-03-10 02:30:00.123456' as ts, 'a' as event_type, cast(null as string) as props union all select timestamp_ntz'1969-12-31 23:59:59.999999', 'b', ''")
+            assert {bytes(r.source_id): r.ts for r in event_records(df).collect()} == {b"a": expect, b"b": -1000}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_states(spark):
     files = entries(spark, ("a", 0, 1, 2), ("b", 100, 101, 102))
     known = spark.createDataFrame([(0, 100), (100, 200), (200, 300)], "partition_start long, partition_end long")

@@ -55,6 +55,16 @@ def test_a_batch_id_is_committed_once(spark, store):
     assert store.scan().count() == 5
 
 
+def test_of_a_stream_the_last_batch_is_kept(spark, store):
+    df = frame(spark, hours(1))
+    assert [store.append(df, BASE, stream=("s:1", k)) for k in (0, 1, 1, 0)] == [5, 5, 0, 0]
+    assert store.append(df.limit(0), BASE, stream=("s:1", 2)) == 0 and store.log.snapshot().streams == {"s:1": 2}
+    store.log.checkpoint()
+    again = Store.open(spark, store.files.root)
+    assert [again.append(df, BASE, stream=x) for x in (("s:1", 2), ("t:1", 0), ("s:1", 3))] == [0, 5, 5]
+    assert again.log.snapshot().streams == {"s:1": 3, "t:1": 0} and not again.log.snapshot().batches
+
+
 def test_strict_mode_leaves_late_records_out_or_raises(spark, tmp_path):
     store = Store.open(spark, str(tmp_path / "s"), Options(late_window=0))
     df = frame(spark, [(BASE, b"a", b""), (BASE - 1, b"b", b"")])

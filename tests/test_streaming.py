@@ -60,7 +60,7 @@ def test_a_stream_that_is_lost_around_its_commit(spark, tmp_path, committed):
     source, check = str(tmp_path / "in"), str(tmp_path / "check")
     store = Store.open(spark, str(tmp_path / "s"), Options(late_mode=TOLERANT))
     for k in range(2):
-        single_record(spark, k, b"a", b"").write.mode("append").parquet(source)
+        single_record(spark, k, b"a", b"").coalesce(1).write.mode("append").parquet(source)
     commit = store.log.commit
 
     def lost(*args, **more):

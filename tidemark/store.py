@@ -62,18 +62,19 @@ class Store:
 
     # writing
 
-    def append(self, records: DataFrame, now: int, batch_id: str | None = None, on_late: str = "drop", layout: str = "auto") -> int:
+    def append(self, records: DataFrame, now: int, batch_id: str | None = None, on_late: str = "drop", layout: str = "auto", stream: tuple[str, int] | None = None) -> int:
         """Write records in one commit; how many were let in.
 
         Refused records (late ones in strict mode, those of sealed windows with reject_sealed) are left out and
         counted, or, with on_late "raise", LateArrival or SealedWindow is raised and nothing kept. A batch_id that was
-        committed before makes this do nothing and return 0. A null in a record raises, and nothing is written.
+        committed before makes this do nothing and return 0, as does a stream's batch (its id and number) that isn't
+        after the last one committed. A null in a record raises, and nothing is written.
         Refused records are counted by the job that writes the others. layout: see write().
         """
         self._open()
         if on_late not in ("drop", "raise"):
             raise ValueError("on_late is drop or raise")
-        if batch_id is not None and batch_id in self.log.snapshot().batches:
+        if self.log.snapshot().knows(batch_id, stream):
             return 0
         added, seen = self.write(admission.require_records(records), refuse=admission.refused(now, self.options), layout=layout)
         if seen["refused"] and on_late == "raise":
@@ -82,8 +83,8 @@ class Store:
             if self.options.late_mode == STRICT:
                 raise LateArrival(f"{seen['refused']} records are late")
             raise SealedWindow(f"{seen['refused']} records are of sealed windows")
-        if added or batch_id is not None:
-            after = self.log.commit("append", added, [], batch_id)
+        if added or batch_id is not None or stream is not None:
+            after = self.log.commit("append", added, [], batch_id, stream=stream)
             if after is None:  # another writer was first with this batch
                 self.discard([e.path for e in added])
                 return 0
