@@ -1,6 +1,7 @@
 """The pipeline's stages on a small corpus, against what each must do."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -8,7 +9,9 @@ import pytest
 
 import corpus_pipeline
 from tidemark.llm import shared
+from test_exact_operators import cut_by_force, groups_by_force
 from tidemark.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
+from tidemark.llm.shared import stored
 from tidemark.llm.tokens import encoder
 
 
@@ -65,6 +68,52 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in whole.select("doc_id").distinct().collect()} == set(kept["leaks"])
 
 
+def stages_by_force(docs, items):
+    """What near_copies, repeats and leaks make of documents (id, text), by ascending id, in plain Python."""
+    _, firsts = zip(*groups_by_force([t for _, t in docs], 5, 80)[0], strict=True)
+    docs = [d for k, d in enumerate(docs) if firsts[k] == k]
+    near = dict(docs)
+    cut = cut_by_force([t for _, t in docs])
+    docs = [(i, after) for (i, before), after in zip(docs, cut, strict=True) if before == after or after.strip(" ")]
+    repeats = dict(docs)
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: [(m.start(), m.end(), m.group().lower()) for m in word.finditer(t.encode())]
+    windows = {tuple(w for _, _, w in split(t)[k : k + 13]) for t in items for k in range(max(1, len(split(t)) - 12))}
+    leaks = {}
+    for i, text in docs:
+        found = split(text or "")
+        hit = {p for size in {len(w) for w in windows} for k in range(len(found) - size + 1) if tuple(w for _, _, w in found[k : k + size]) in windows for p in range(k, k + size)}
+        if hit and 20 * len(hit) >= len(found):
+            continue
+        gone = {b for p in hit for b in range(found[p][0], found[p + 1][0] if p + 1 in hit else found[p][1])}
+        leaks[i] = text if text is None else bytes(b for k, b in enumerate(text.encode()) if k not in gone).decode()
+    return near, repeats, leaks
+
+
+def test_stages_by_force(spark, tmp_path):
+    rng = random.Random(31)
+    say = lambda n: " ".join(rng.choice(["", "", "Ä"]) + f"w{rng.randrange(3000)}" + rng.choice(["", "", "", "", ".", ",", "\n"]) for _ in range(n))
+    items, passages = [say(30) for _ in range(4)], [say(45) for _ in range(5)]
+    texts = []
+    for k in range(90):
+        parts = [say(rng.choice([5, 40, 500])), rng.choice(passages) if k % 3 == 0 else say(9), rng.choice(items) if k % 5 == 0 else say(9), say(rng.choice([3, 300]))]
+        texts.append("\n".join(parts))
+    for k in range(12):  # near and exact copies, and texts that are all passage
+        w = texts[k].split(" ")
+        w[len(w) // 2] = "other"
+        texts += [" ".join(w), texts[k + 20], passages[k % 5]]
+    docs = list(enumerate([*texts, None, "", " "]))
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in docs]
+    spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for k, expect in enumerate(stages_by_force(docs, items)):
+        name, stage = corpus_pipeline.STAGES[k + 1]
+        table = stored(stage(spark, table, str(tmp_path)), name)
+        got = table.collect()
+        assert {r.doc_id: r.text for r in got} == expect and len(got) == len(expect), name
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+
+
 def test_queries_cover_the_ten_operators():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)

@@ -378,7 +378,14 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, size: int, percent: int, *columns: str) -> DataFrame:
-    """groups(), and of row and label (of the group; null without words) those that are asked for."""
+    """groups(), and of row and label (of the group; null without words) those that are asked for. Its tables go, even if it fails."""
+    with temporary(docs.sparkSession) as made:
+        result = _components_of(docs, size, percent, *columns)
+        spare(made, result)
+    return result
+
+
+def _components_of(docs: DataFrame, size: int, percent: int, *columns: str) -> DataFrame:
     p = _Prepared(docs, size, percent)
     done = [p.entries, p.classes]  # tables that aren't needed once the labels are known
     # the share of a class's prefix that others have: the original of a group of near copies has more than its copies

@@ -190,6 +190,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def near_copies_by_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of that method, banding and verification, over all documents."""
+    return edit_embedding.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sentence_spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -246,6 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_store": op9_token_store,
     "op10_packing": op10_packing,
     "token_counts_by_tokenizer": token_counts_by_tokenizer,
+    "near_copies_by_edits": near_copies_by_edits,
 }
 
 ORACLE_SQL: dict[str, str] = {
