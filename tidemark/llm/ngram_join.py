@@ -446,10 +446,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = _grouped(docs, size, percent, "row", "label")
     per = found.where("label is not null").groupBy("label", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     lead = per.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "rows")).alias("lead"), F.count("*").alias("members")).where("members > 1 or lead.rows > 1")
+    lead = stored(lead, "lead")  # on its own, so that Spark may split the rows of a large group in the join
     # what goes, and what stays but comes several times; no other text needs to move
     told = per.join(lead.select(F.col("label").alias("l"), "lead"), F.col("label") == F.col("l")).select("row", (F.col("row") != F.col("lead.row")).alias("goes"), "rows")
     told = stored(told.where("goes or rows > 1").select(F.col("row").alias("_row_told"), F.col("goes").alias("_goes")), "told")
-    discard(found)
+    discard(found, lead)
     some, rest = sifted(docs, _row(), sieve(told, "_row_told"))
     met = some.select(F.struct("*").alias("_all"), _row().alias("_id")).join(told, F.col("_id") == F.col("_row_told"), "left")
     kept = rest.unionByName(met.where("_goes is null").select("_all.*"))

@@ -26,7 +26,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 #: Classes up to EXACT take pieces cut at their upper end. Shorter pieces are gathered in fewer, wider classes.
 EXACT = 16
 #: Bytes of text that are tokenised at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def wide_classes(capacity: int) -> list[int]:

@@ -153,9 +153,9 @@ def begin_task(name: str = "", clear: Callable[[], None] | None = None) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of 8 MB, unless the session says otherwise: each task holds several copies of one."""
+    """Whole texts go to Python in batches of 4 MB, unless the session says otherwise: each task holds several copies of one."""
     if not spark._jsparkSession.sessionState().conf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:

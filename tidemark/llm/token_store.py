@@ -21,7 +21,7 @@ from tidemark.llm.tokens import encoder
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:

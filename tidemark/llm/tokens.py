@@ -19,7 +19,7 @@ from tidemark.llm.shared import begin_task, ragged
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bounds of a worker's tables: chunks, words and ids in them; beyond any of them it goes back to its first BASE chunks.
-MOST_CHUNKS, MOST_WORDS, MOST_IDS, BASE = 500_000, 400_000, 6_000_000, 200_000
+MOST_CHUNKS, MOST_WORDS, MOST_IDS, BASE = 400_000, 320_000, 5_000_000, 200_000
 
 #: What other texts have; the lower case and normal form of plain ones are the same in any Unicode version.
 _NOT_PLAIN = re.compile("[^\n\x20-\x7e\u00c0-\u012f\u0131-\u017f]")
