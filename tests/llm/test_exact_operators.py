@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -600,6 +601,22 @@ def test_encoder_that_forgets(monkeypatch):
     assert own.base[0] and len(own.slots) < 200
 
 
+def test_encoder_takes_little_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "BASE", 20_000)
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", 60_000)
+    own = tokens.Encoder(TOKENIZER)
+    rng = random.Random(26)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(1000)) for _ in range(60)]
+    tracemalloc.start()
+    for text in texts:
+        own.encode([text])
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert own.base[0] and 50_000 < len(own.slots) < 62_000
+    # a word and the chunk equal to it share string and ids, and the first chunks are not there twice: 0.2 KB a chunk
+    assert now < 12 << 20 and peak < 20 << 20, (now >> 20, peak >> 20)
+
+
 def ids_of(texts):
     return [np.array(x.ids + [2], "<u4") for x in encoder(TOKENIZER).tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 

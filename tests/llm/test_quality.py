@@ -1,12 +1,15 @@
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality
+from tidemark.llm.shared import slices, text_bytes
 
 
 def clean(rng):
@@ -136,3 +139,19 @@ def test_a_text_over_the_bound_does_not_shut_out_others(spark, tables):
     some = docs.where("doc_id in (1, 2, 3, 6, 9002) or doc_id between 10 and 60")
     more = labels.unionByName(spark.createDataFrame([(9002, 0)], "doc_id long, quality int"))
     assert quality.fit(some, more, most_bytes=60_000).weights
+
+
+def test_scoring_takes_little_memory(tables):
+    rng = random.Random(3)
+    batch = pa.record_batch([pa.array([clean(rng) for _ in range(3000)])], names=["text"])
+    assert batch.nbytes > 2 << 20
+    docs, labels, _ = tables
+    model = quality.fit(docs, labels)
+    whole = model.score(*text_bytes(batch.column(0)))
+    tracemalloc.start()
+    parts = [model.score(*text_bytes(part.column(0))) for part in slices(iter([batch]), "text", quality.SLICE)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.concatenate(parts), whole)
+    # two workers, their executor's heap and all else of it have to fit into its 3 GB
+    assert peak < 32 << 20

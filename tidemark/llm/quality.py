@@ -23,10 +23,11 @@ from pyspark.sql.types import StructType
 from tidemark.llm.shared import begin_task, mixed, slices, small_batches, text_bytes, texts_of
 
 PASSAGE = 48
-SLICE = 1 << 20
+#: Bytes of text that are scored at once: features take up to a hundred times their memory.
+SLICE = 1 << 18
 #: Classes of bytes; what is in none of these has a class of its own.
 _GROUPS = [b" \t\r\x0b\x0c", b"\n", b"aeiou", b"bcdfghjklmnpqrstvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!?", b"'\"-", b"()[]{}<>", b"|/\\", b"#$%&*@^~=+_", b":;", bytes(range(0x80, 0xC0))]
-_CLASS = np.full(256, 15, np.int64)
+_CLASS = np.full(256, 15, np.uint8)
 for _k, _group in enumerate(_GROUPS):
     _CLASS[list(_group)] = _k
 _PAIRS = 256
@@ -58,12 +59,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begin = np.repeat(offsets[:-1], passages)
     opens = np.append(True, passage[1:] != passage[:-1]) & (place > 0)
     begin[passage[opens]] = starts[opens]
-    of_byte = np.repeat(np.arange(total), np.diff(np.append(begin, len(data))))
+    of_byte = np.repeat(np.arange(total, dtype=np.int64 if total * _PAIRS >> 31 else np.int32), np.diff(np.append(begin, len(data))))
     # and each pair to the passage of its second byte; none crosses from text to text
     second = 1 + np.flatnonzero(~edge[1 : len(data)])
-    pairs = np.bincount(of_byte[second] * _PAIRS + kind[second - 1] * 16 + kind[second], minlength=total * _PAIRS).reshape(total, _PAIRS)
+    pairs = np.bincount(of_byte[second] * _PAIRS + (kind[second - 1] * 16 + kind[second]), minlength=total * _PAIRS).reshape(total, _PAIRS)
     size = np.maximum(1, pairs.sum(axis=1, keepdims=True))
     out[:, :_PAIRS] = np.sqrt(pairs / size)
+    del of_byte, second, pairs
     # words: a rolling sum identifies each
     powers = np.full(len(data) + 1, 0x9E3779B97F4A7C15, np.uint64)
     powers[0] = 1
