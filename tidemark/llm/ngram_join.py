@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,8 @@ HOT = 5_000
 ROUNDS = 3
 #: Pairs of one class beyond which they are dealt to several tasks, each of which gets its text.
 MANY = 1_000
-SLICE = 4 << 20
+#: Bytes of text whose words are told apart at once.
+SLICE = 1 << 20
 #: Entries in a worker's table of hashed words; beyond it starts anew.
 MOST_WORDS = 250_000
 
@@ -153,19 +155,20 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     """The level of the number of documents with an n-gram of each cell: 2^SKETCH_BITS bytes, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(cells), np.int64 if last else np.uint16)
-                sums[part] = sums.get(part, 0) + own.astype(np.int64)
-        raw = [_level(x).tobytes() if last else zlib.compress(x.tobytes(), 1) for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())], names=["part", "cells"])
+        begin_task("words", _forget)
+        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True))
+        for part, own in groupby(rows, lambda row: row[0]):  # rows come by part, so that only one is in memory
+            total = np.zeros((1 << SKETCH_BITS) // PARTS, np.int64)
+            for _, cells in own:
+                total += np.frombuffer(zlib.decompress(cells), np.int64 if last else np.uint16)
+            raw = _level(total).tobytes() if last else zlib.compress(total.tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["part", "cells"])
 
     cells = sets.where("part is not null").select("part", "cells", F.spark_partition_id().alias("task"))
     # added up in two steps, the first in about as many groups of tasks as each group has tasks
     several = max(1, math.isqrt(sets.rdd.getNumPartitions()))
-    some = cells.repartition(F.col("part"), F.pmod("task", F.lit(several))).mapInArrow(lambda b: run(b, False), "part int, cells binary")
-    found = some.repartition("part").mapInArrow(lambda b: run(b, True), "part int, cells binary").collect()
+    some = cells.repartition(F.col("part"), F.pmod("task", F.lit(several))).sortWithinPartitions("part").mapInArrow(lambda b: run(b, False), "part int, cells binary")
+    found = some.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: run(b, True), "part int, cells binary").collect()
     sketch = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint8)
     for part, cells in found:
         sketch[part] = np.frombuffer(cells, np.uint8)

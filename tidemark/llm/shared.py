@@ -147,7 +147,7 @@ def begin_task(name: str = "", clear: Callable[[], None] | None = None) -> None:
     if clear:
         _kept[name] = clear
     pa.default_memory_pool().release_unused()
-    if dropped and sys.platform == "linux":
+    if sys.platform == "linux":
         with suppress(OSError, AttributeError):  # where the C library is another one, it keeps what was freed for itself
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 

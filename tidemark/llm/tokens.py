@@ -56,7 +56,7 @@ class Encoder:
         kinds = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
         parts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"].get("Regex") == WORD_PATTERN and not told.get("post_processor"):
-            self.merges = Tokenizer.from_file(path)
+            self.merges = Tokenizer(self.tokenizer.model)  # the same model, not another copy of it
             self.merges.normalizer = normalizers.Sequence([])
             self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
