@@ -141,13 +141,13 @@ def begin_task(name: str = "", clear: Callable[[], None] | None = None) -> None:
 
     Operator `name` keeps its own until another begins; clear() then drops them.
     """
-    dropped = [x for x in _kept if x != name]
-    for other in dropped:
+    goes_on = name in _kept
+    for other in [x for x in _kept if x != name]:
         _kept.pop(other)()
     if clear:
         _kept[name] = clear
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
+    if not goes_on and sys.platform == "linux":
         with suppress(OSError, AttributeError):  # where the C library is another one, it keeps what was freed for itself
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 

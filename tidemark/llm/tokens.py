@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -78,9 +78,9 @@ class Encoder:
 
     def forget(self) -> None:
         slots, words, self.used, self.n = self.base
-        for known, most in ((self.slots, slots), (self.words, words)):
-            while len(known) > most:
-                known.popitem()  # the latest; a copy of the first ones would take as much memory again
+        # made anew: what popitem() leaves behind in a dictionary makes it slow
+        self.slots = dict(islice(self.slots.items(), slots))
+        self.words = dict(islice(self.words.items(), words))
 
     def keep(self, flat: np.ndarray, sizes: np.ndarray) -> range:
         """Put runs of ids into the pool; their slots."""
