@@ -83,6 +83,18 @@ def test_suffix_dedup_query_has_the_size_of_each_text(spark, tmp_path):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in rows} == {k: (len((t or "").encode()), gone, hashlib.sha256(kept).hexdigest()) for k, (t, (kept, gone)) in enumerate(zip(texts, expect, strict=True))}
 
 
+def test_suffix_dedup_query_writes_small_rows_to_few_files(spark, tmp_path):
+    passage = "0123456789" * 30
+    texts, ids = [passage + str(k) for k in range(8)] + [f"alone {k}" for k in range(8)], [*range(6), 5, None, *range(6, 12), None, None]
+    docs_of(spark, texts, ids).write.parquet(f"{tmp_path}/documents.parquet")
+    QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("*.parquet"))) == 1
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    expect = [(i, gone) for i, (_, gone) in zip(ids, removed_by_force(texts, 200, "none"), strict=True)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted([(r.doc_id, r.n_removed) for r in rows], key=key) == sorted(expect, key=key)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)

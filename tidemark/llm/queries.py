@@ -29,7 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=200, keep="none")
     spans = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans"))
-    return cut.select("doc_id", "n_bytes", "n_removed", spans.cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digests = cut.select("doc_id", "n_bytes", "n_removed", spans.cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # rows of 100 bytes, which would make a file for each task that reads texts
+    return digests.hint("rebalance", "doc_id")
 
 
 OP1_SQL = r"""
