@@ -129,6 +129,21 @@ def test_longest_previous_factors(depth):
         assert length[k] == best and (best == 0 or (order[source[k]] < p and shared(p, int(order[source[k]])) == best))
 
 
+def test_suffix_dedup_holds_few_arrays_of_a_slice_or_shard():
+    rng = np.random.default_rng(5)
+    n = 400_000
+    data, offsets = rng.integers(97, 123, n).astype(np.uint8), np.arange(0, n + 1, 400)
+    data[n // 2 :] = data[: n // 2]
+    several = {"several": np.zeros(len(offsets) - 1, bool)}
+    for f, most in [(lambda: suffix_dedup.runs(data, offsets, 200), 75), (lambda: suffix_dedup._shard(several, data, np.diff(offsets), 200, False, True), 85)]:
+        tracemalloc.start()
+        try:
+            f()
+            assert tracemalloc.get_traced_memory()[1] < most * n
+        finally:
+            tracemalloc.stop()
+
+
 # token counts
 
 

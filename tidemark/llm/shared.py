@@ -219,7 +219,7 @@ class Rolling:
         self.inverse[0] = 1
         np.multiply.accumulate(self.inverse, out=self.inverse)
 
-    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def of(self, first: np.ndarray | slice, last: np.ndarray | slice) -> np.ndarray:
         return mixed((self.sums[last] - self.sums[first]) * self.inverse[first])
 
 

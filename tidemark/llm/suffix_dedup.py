@@ -41,19 +41,25 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nda
         return dict.fromkeys(("text", "first", "last", "key", "context"), none)
     n, gram = len(data), min(GRAM, length)
     width = length - gram + 1
-    roll = Rolling(_CODE[data], _BASES[0])
-    grams = roll.of(np.arange(n - gram + 1), np.arange(gram, n + 1))
+    grams = Rolling(_CODE[data], _BASES[0]).of(slice(0, n - gram + 1), slice(gram, n + 1))
     bits = np.uint64(max(24, int(n).bit_length()))
-    packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     # the least of each `width` neighbours, leftmost of equal ones: minima from the left and right ends of blocks
-    blocks = -(-len(packed) // width) + 1
-    table = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    table[: len(packed)] = packed
-    table = table.reshape(blocks, width)
+    blocks = -(-len(grams) // width) + 1
+    right = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
+    packed = right[: len(grams)]
+    packed[:] = grams
+    packed >>= bits
+    packed <<= bits
+    packed |= np.arange(len(grams), dtype=np.uint32)
+    table = right.reshape(blocks, width)
     left = np.minimum.accumulate(table, axis=1).ravel()
-    right = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    np.minimum.accumulate(table[:, ::-1], axis=1, out=table[:, ::-1])
     starts = ragged(offsets[fits], sizes[fits] - length + 1)
-    anchor = (np.minimum(right[starts], left[starts + width - 1]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = right[starts]
+    np.minimum(anchor, left[starts + (width - 1)], out=anchor)
+    anchor &= (np.uint64(1) << bits) - np.uint64(1)
+    anchor = anchor.view(np.int64)
+    del right, packed, table, left
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]
@@ -139,6 +145,7 @@ class _Meeting:
 
 def _met(found: DataFrame, keep_first: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin_task()
         meeting = _Meeting(keep_first)
         for df in batches:
             done = df[df["settled"]].assign(compare=False)
@@ -164,32 +171,37 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     n = len(data)
     bits = np.uint64(21)
     low = (np.uint64(1) << bits) - np.uint64(1)
-    place = np.arange(n, dtype=np.uint64)
-    rank, reach = data.astype(np.uint64), 1
+    place = np.arange(n, dtype=np.uint32)
+    rank, reach = data.astype(np.uint32), 1
     ranks = []
     while True:
-        ranks.append(rank.astype(np.uint32))
+        ranks.append(rank)
         # by 2 * reach bytes, or, the last time, by `depth`, whose end the second half overlaps
         last = 2 * reach >= depth
         step = depth - reach if last else reach
-        after = np.zeros(n, np.uint64)
-        after[: n - step] = rank[step:]
-        key = (rank << (bits + bits)) | (after << bits) | place
+        # in place: a worker holds one such array for each of these lines else
+        key = rank.astype(np.uint64)
+        key <<= bits
+        key[: n - step] |= rank[step:]
+        key <<= bits
+        key |= place
         if last:
             key = key[starts]
         key.sort()
-        at = (key & low).astype(np.int64)
+        at = (key & low).view(np.int64)
         if last:
             return at, ranks
-        rank[at] = np.cumsum(np.append(False, (key[1:] >> bits) != (key[:-1] >> bits))).astype(np.uint64)
+        key >>= bits
+        rank = np.empty(n, np.uint32)
+        rank[at] = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=np.uint32)
         reach *= 2
 
 
 def common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Bytes that the suffixes at a and b have in common at their front, `depth` at most, by ranks of halving lengths."""
-    found = np.zeros(len(a), np.int64)
+    found = np.zeros(len(a), np.int32)
     for k in [*range(len(ranks) - 1, -1, -1), 0]:  # once more by a byte, as `depth` may be a power of two
-        found += (ranks[k][a + found] == ranks[k][b + found]).astype(np.int64) << k
+        found += (ranks[k][a + found] == ranks[k][b + found]).astype(np.int32) << k
     return np.minimum(found, depth)
 
 
@@ -198,17 +210,17 @@ def previous_smaller(values: np.ndarray) -> np.ndarray:
     levels = [values]
     while len(levels[-1]) > 1:
         x = levels[-1]
-        x = np.append(x, _LAST) if len(x) & 1 else x
+        x = np.append(x, np.array(np.iinfo(x.dtype).max, x.dtype)) if len(x) & 1 else x
         levels.append(np.minimum(x[::2], x[1::2]))
-    found = np.full(len(values), -1, np.int64)
-    left, node = np.arange(len(values)), np.arange(len(values))
+    found = np.full(len(values), -1, np.int32)
+    left, node = np.arange(len(values), dtype=np.int32), np.arange(len(values), dtype=np.int32)
     turns = []
     for minima in levels[:-1]:
         beside = node - 1
         hit = (node & 1 == 1) & (minima[beside] < values[left])
         turns.append((left[hit], beside[hit]))
         left, node = left[~hit], node[~hit] >> 1
-    who, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    who, node = np.zeros(0, np.int32), np.zeros(0, np.int32)
     for k in range(len(turns) - 1, -1, -1):
         if len(who):
             right = np.minimum(2 * node + 1, len(levels[k]) - 1)
@@ -223,11 +235,13 @@ def longest_previous(order: np.ndarray, ranks: list[np.ndarray], depth: int) ->
 
     Of all earlier positions those next to a suffix in suffix order, the previous and the next smaller position, have most in common with it.
     """
-    length, source = np.zeros(len(order), np.int64), np.full(len(order), -1, np.int64)
-    ahead = previous_smaller(order)
-    behind = previous_smaller(order[::-1])[::-1]
-    for other in (ahead, np.where(behind < 0, -1, len(order) - 1 - behind)):
+    order = order.astype(np.int32)
+    length, source = np.zeros(len(order), np.int32), np.full(len(order), -1, np.int32)
+    for behind in (False, True):
+        other = previous_smaller(order[::-1])[::-1] if behind else previous_smaller(order)
         some = np.flatnonzero(other >= 0)
+        if behind:
+            other = len(order) - 1 - other
         shared = common(ranks, order[some], order[other[some]], depth)
         longer = shared > length[some]
         length[some[longer]], source[some[longer]] = shared[longer], other[some[longer]]
@@ -242,6 +256,7 @@ def _shard(group: dict[str, np.ndarray], data: np.ndarray, sizes: np.ndarray, le
     starts = ragged(begins, windows)
     at, ranks = suffix_order(data, starts, length)
     factor, source = longest_previous(at, ranks, length)
+    del ranks
     again = factor >= length
     of = np.searchsorted(begins, at, "right") - 1
     repeated = again.copy()
@@ -273,6 +288,7 @@ def _contexts(rows: DataFrame, compare: DataFrame, length: int) -> DataFrame:
     """The bytes of the contexts that must be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in slices(batches, "text", SLICE):
             data, offsets = text_bytes(batch.column(0))
             lists = batch.column(1)
@@ -299,6 +315,7 @@ def _compared(texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Repeated stretches in bytes of the texts (row, start, stop); for salted keys also, with a and b, each shard's different strings (start: where)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin_task()
         held: list[pd.DataFrame] = []
         size, before = 0, None
         for df in batches:
@@ -429,6 +446,7 @@ def dedup(docs: DataFrame, length: int = 200, keep: str = "first") -> DataFrame:
     rows, spans = repeated_spans(docs, length, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             sizes, kept, removed = [], [], []
             for text, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
