@@ -614,6 +614,27 @@ def test_encoder_is_the_tokenizer():
     assert ids.tolist() == [i for x in expect[:3] for i in [*x, 2]] and lengths.tolist() == [len(x) + 1 for x in expect[:3]]
 
 
+def test_encoder_looks_each_different_part_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    own = tokens.Encoder(TOKENIZER)
+    marks = ["", ".", ",", "!!", "?", ";", ")", "'s", "'LL", " |"]
+    texts = [" ".join(f"{w}{m}" for w in ("the", "Été", "thing", "Ÿes", "na")) for m in marks] * 30
+    texts += ["a'", "s", "x'", "", "ll", "'", "re", "5's't'S ÉT'RE 2024'd x''s", "漢字's a×b's <'s", "'v", "e"]
+    expect = [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    own.slots = Counted()
+    for _ in range(2):
+        ids, lengths = own.encode(texts)
+        assert lengths.tolist() == list(map(len, expect)) and ids.tolist() == [i for x in expect for i in x]
+    # 5 words, 9 marks and endings, 20 others; with a lookup and an entry for each chunk 50 and 3000 by themselves
+    assert len(own.slots) < 40 and Counted.asked < 80, (len(own.slots), Counted.asked)
+
+
 def test_encoder_that_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_CHUNKS", 60)
     monkeypatch.setattr(tokens, "MOST_WORDS", 50)
