@@ -129,6 +129,39 @@ def test_large_windows_compact_to_several_files(spark, tmp_path):
     assert store.scan().count() == 120
 
 
+@pytest.mark.parametrize("target", [1 << 30, 4000])
+def test_no_task_sorts_much_more_than_a_piece_of_a_large_window(spark, tmp_path, monkeypatch, target):
+    monkeypatch.setattr(maintenance, "SORT_ROWS", 500)
+    monkeypatch.setattr(maintenance, "SORT_BYTES", 1 << 30)
+    sorted_rows, write = [], store_module.Store._put_together
+    store = Store.open(spark, str(tmp_path / "s"), Options(late_mode=TOLERANT, max_files_per_partition=1, target_file_bytes=target))
+
+    def seen(self, folder):
+        pieces = self.spark.read.schema("ts long").option("recursiveFileLookup", "true").parquet(f"{self.files.root}/{folder}")
+        sorted_rows.extend(r["n"] for r in pieces.groupBy(F.col("_metadata.file_path")).agg(F.count(F.lit(1)).alias("n")).collect())
+        write(self, folder)
+
+    monkeypatch.setattr(store_module.Store, "_put_together", seen)
+    given = []
+    for k in range(2):  # one time has most records of a window, all of them equal; another window has few
+        part = [(BASE + m * 60 * NANOS + k, f"s{m % 7}".encode(), b"x%d" % m) for m in range(60)] + [(BASE + 7, b"s", b"same")] * 2000 + [(BASE + 2 * HOUR, b"s", b"y")]
+        given += part
+        store.append(frame(spark, part), BASE)
+    assert maintenance.compact(store) == 2
+    assert sum(sorted_rows) == len(given) and 1 < len(sorted_rows) and max(sorted_rows) < 1000
+    files = sorted(store.log.snapshot().files(), key=lambda e: e.min_ts)
+    assert sum(e.partition_start == BASE for e in files) == (1 if target > 4000 else len(files) - 1) and all(a.max_ts < b.min_ts for a, b in zip(files, files[1:], strict=False))
+    assert rows(store.scan()) == sorted(given) and store.unordered() == []
+
+
+def test_parts_of_an_ordered_scan_are_tasks_of_their_own(spark, store):
+    given = hours(6, each=7)
+    store.append(frame(spark, given).coalesce(1), BASE)
+    store.append(frame(spark, given[:9]).coalesce(1), BASE)
+    sizes = store.scan().rdd.glom().map(len).collect()
+    assert len([n for n in sizes if n]) == 6 and max(sizes) < len(given) and [tuple(map(bytes, r[1:])) for r in store.scan().collect()][-1] == given[-1][1:]
+
+
 def test_retention_goes_by_the_newest_record_of_a_file(spark, store):
     now = BASE + 10 * HOUR
     store.append(frame(spark, [(now - 2 * HOUR, b"old", b"")]), BASE)

@@ -24,6 +24,8 @@ from tidemark.schema import FILE_ENTRY, MAX_TS, MIN_TS, RECORD, record_size, win
 PART_BYTES, PARTS = 256 << 20, 200
 #: Records that a file should have at least where an append doesn't shuffle.
 CLUSTERED_ROWS = 20_000
+#: What one task sorts of a file that has more: records, and bytes on disk.
+SORT_ROWS, SORT_BYTES = 1 << 20, 128 << 20
 
 
 class Store:
@@ -106,13 +108,15 @@ class Store:
         tasks, rows, files, spans, whole = each.agg(F.count(F.lit(1)), F.sum("n"), F.sum(windows), F.sum(b.cast("double") - a), F.max("b").cast("double") - F.min("a")).first()
         return tasks <= 1 or (files * CLUSTERED_ROWS <= rows and spans <= 2 * whole)
 
-    def write(self, records: DataFrame, split: dict[int, int] | None = None, refuse: Column | None = None, layout: str = "auto") -> tuple[list[FileEntry], dict[str, int]]:
+    def write(self, records: DataFrame, split: dict[int, int] | None = None, refuse: Column | None = None, layout: str = "auto", pieces: int = 1) -> tuple[list[FileEntry], dict[str, int]]:
         """Data files with these records, not yet committed; and how many bytes they have and how many records were refused.
 
         layout "range": rows are dealt by ranges of (window, ts), so a window with most of the rows is written by
         many tasks, and each file covers a narrow range of time. "clustered": each task sorts and writes what it
         has, without a shuffle. "auto": clustered, if the tasks' times hardly overlap as they are. With split, each
-        window makes that many files instead, of equal stretches of time.
+        window makes that many files instead, of equal stretches of time. A task sorts whole files then; with
+        pieces over 1, as many tasks sort equal parts of all the records (with a column `row`, equal records are
+        parted by it), and files of several parts are put together from them without a sort.
         """
         if layout not in ("auto", "range", "clustered"):
             raise ValueError("layout is auto, range or clustered")
@@ -125,8 +129,14 @@ class Store:
             # a stretch's number goes by hundredths of a millionth of the window, so that the product stays within 64 bits
             place = F.call_function("div", F.col("ts") - F.col("part_start"), F.lit(max(1, duration // 100_000_000)).cast("long"))
             stretch = F.call_function("div", place * F.coalesce(F.create_map(*several)[F.col("part_start")], F.lit(1)), F.lit(duration // max(1, duration // 100_000_000) + 1).cast("long")) if several else F.lit(0)
-            dealt = dealt.withColumn("stretch", stretch).repartition(sum(split.values()), "part_start", "stretch")
+            dealt = dealt.withColumn("stretch", stretch)
             folders.append("stretch")
+            if pieces > 1:
+                # behind time and source, so that records of one time and source are parted as well
+                tie = [F.col("row")] if "row" in records.columns else []
+                dealt = dealt.repartitionByRange(pieces, *folders, "ts", "source_id", F.xxhash64("payload"), *tie).drop("row")
+            else:
+                dealt = dealt.drop("row").repartition(sum(split.values()), *folders)
         elif layout == "range" or (layout == "auto" and not self._clustered(records)):
             dealt = dealt.repartitionByRange("part_start", "ts")
         # behind the shuffle, as the choice of ranges reads what is before it once more
@@ -137,7 +147,9 @@ class Store:
         counts = {name: n or 0 for name, n in seen.get.items()}
         if not any(n.endswith(".parquet") for n, _, _ in self.files.walk(folder)):
             return [], counts
-        written = self.spark.read.schema("ts long").parquet(f"{self.files.root}/{folder}")
+        if pieces > 1:
+            self._put_together(folder)
+        written = self.spark.read.schema("ts long").option("recursiveFileLookup", "true").parquet(f"{self.files.root}/{folder}")
         stats = aggregate.file_stats(written.select("ts", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")), "path", "size")
         found = []
         for r in stats.collect():  # a row for each new file
@@ -149,6 +161,30 @@ class Store:
             raise OrderViolation(f"rows out of order in {', '.join(bad[:3])}")
         return sorted(found, key=lambda e: (e.partition_start, e.path)), counts
 
+    def _put_together(self, folder: str) -> None:
+        """Of a folder of sorted pieces, numbered in order, replace those of one window and stretch by one file, which a task writes as it reads them."""
+        found: dict[str, list[str]] = {}
+        for name, _, _ in self.files.walk(folder):
+            if name.endswith(".parquet"):
+                found.setdefault(name.rpartition("/")[0], []).append(name)
+        several = [sorted(names, key=lambda n: (len(n), n)) for names in found.values() if len(names) > 1]
+        while several:
+            some = [several.pop()]
+            while several and sum(map(len, some)) + len(several[-1]) <= PARTS:  # pieces in one plan
+                some.append(several.pop())
+            read = lambda name: self.spark.read.schema(RECORD).parquet(f"{self.files.root}/{name}").coalesce(1)
+            files = [reduce(DataFrame.unionAll, map(read, names)).coalesce(1) for names in some]
+            self._side_by_side(files, some[0][0]).write.options(**self.options.writer_options()).parquet(f"{self.files.root}/{folder}/whole-{uuid.uuid4().hex}")
+            self.discard([name for names in some for name in names])
+
+    def _side_by_side(self, parts: list[DataFrame], path: str) -> DataFrame:
+        """The union of frames of one partition each, in tasks of their own, one after the other. path: any data file.
+
+        Spark 4.1 puts frames that all have one partition into one task; beside a read, which could have more, it doesn't. That read has no rows.
+        """
+        none = self.spark.read.schema(RECORD).parquet(f"{self.files.root}/{path}").where("ts is null")
+        return reduce(DataFrame.unionAll, [*parts, none]) if len(parts) > 1 else parts[0]
+
     def unordered(self, entries: list[FileEntry] | None = None) -> list[str]:
         """Of live files (or these) those in which a row comes before one with an earlier time, or an earlier source at the same time."""
         entries = self.log.snapshot().files() if entries is None else entries
@@ -219,7 +255,7 @@ class Store:
         if not groups or len(groups) > max(PARTS, 4 * cores) or any(len(g) > 1 and bytes_of(g) > 2 * PART_BYTES for g in groups):
             return scan.ordered(scan.scan_range(self.read_files(files), start, end, source), ties=False)
         found = [scan.scan_range(self.read_files(g), start, end, source).coalesce(1) for g in groups]
-        return reduce(DataFrame.unionAll, [p if len(g) == 1 else p.sortWithinPartitions("ts", "source_id") for p, g in zip(found, groups, strict=True)])
+        return self._side_by_side([p if len(g) == 1 else p.sortWithinPartitions("ts", "source_id") for p, g in zip(found, groups, strict=True)], files[0].path)
 
     def rows(self, start: int = MIN_TS, end: int = MAX_TS, source: bytes | None = None) -> Iterator[Row]:
         """A scan's records one by one, in order, a part at a time; their number and the seconds until the last go to the metrics."""
