@@ -6,6 +6,7 @@ import urllib.error
 import urllib.request
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import tidemark
@@ -13,6 +14,7 @@ from tidemark import maintenance
 from tidemark.errors import Closed, Conflict, CorruptLog, InvalidBucketWidth, LateArrival, OptionMismatch, OrderViolation, SealedWindow
 from tidemark import store as store_module
 from tidemark.options import TOLERANT, Options
+from tidemark.plans import catalogue
 from tidemark.plans.commitlog import Edit, FileEntry, Snapshot
 from tidemark.schema import HOUR, NANOS, RECORD
 from tidemark.store import Store
@@ -154,6 +156,32 @@ def test_no_task_sorts_much_more_than_a_piece_of_a_large_window(spark, tmp_path,
     assert rows(store.scan()) == sorted(given) and store.unordered() == []
 
 
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_an_append_by_windows_makes_one_file_of_each_in_tasks_of_their_own(spark, store, monkeypatch, most):
+    monkeypatch.setattr(store_module, "SORT_ROWS", most)
+    given = hours(4, each=150) + [(BASE, b"src-0", b"late")] * 9
+    assert store.append(frame(spark, given).repartition(3), BASE, layout="windows") == len(given)
+    live = store.log.snapshot().files()
+    assert len(live) == len({e.partition_start for e in live}) == 4 and sum(e.record_count for e in live) == len(given)
+    assert sorted(rows(store.scan())) == sorted(given) and store.unordered() == []
+    assert store.append(frame(spark, []), BASE, layout="windows") == 0 and len(store.log.snapshot().live) == 4
+
+
+def test_no_task_has_all_events_of_a_store_of_batches(spark, tmp_path, monkeypatch):
+    events = spark.range(3000).selectExpr(f"timestamp_micros({catalogue.JAN // 1000} + id % 30 * {DAY // 1000} + id) as ts", "element_at(array('click', 'error', 'purchase', 'signup', 'view'), cast(id % 5 + 1 as int)) as event_type", "'p' as props")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    tasks, sort = [], DataFrame.sortWithinPartitions
+
+    def seen(self, *columns, **more):
+        tasks.append(self.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return sort(self, *columns, **more)
+
+    monkeypatch.setattr(type(events), "sortWithinPartitions", seen)
+    monkeypatch.setattr(store_module, "SORT_ROWS", 99)  # of the 100 in a window
+    store = catalogue.batches_store(spark, str(tmp_path), 30)
+    assert len(store.log.snapshot().live) == 30 and max(tasks) < 300
+
+
 def test_parts_of_an_ordered_scan_are_tasks_of_their_own(spark, store):
     given = hours(6, each=7)
     store.append(frame(spark, given).coalesce(1), BASE)

@@ -202,7 +202,7 @@ def batches_store(spark: SparkSession, sf_dir: str, days: int, window: int = DAY
     store = Store.open(spark, scratch(spark), Options(partition_duration=window, late_mode=TOLERANT, **options))
     for first in range(0, 30, days):
         part = scan_range(events(spark, sf_dir), JAN + first * DAY, JAN + (first + days) * DAY)
-        store.append(part.coalesce(1), now=JAN, layout="clustered")
+        store.append(part, now=JAN, layout="windows")
     return store
 
 
@@ -210,7 +210,7 @@ def sources_store(spark: SparkSession, sf_dir: str, **options) -> Store:
     """Events in a store of daily windows, by one batch for each source, so that each source's records of a day are a file."""
     store = Store.open(spark, scratch(spark), Options(partition_duration=DAY, late_mode=TOLERANT, **options))
     for source in ("click", "error", "purchase", "signup", "view"):
-        store.append(events(spark, sf_dir).where(F.col("source_id") == F.lit(source.encode())).coalesce(1), now=JAN, layout="clustered")
+        store.append(events(spark, sf_dir).where(F.col("source_id") == F.lit(source.encode())), now=JAN, layout="windows")
     return store
 
 

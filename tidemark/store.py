@@ -108,18 +108,28 @@ class Store:
         tasks, rows, files, spans, whole = each.agg(F.count(F.lit(1)), F.sum("n"), F.sum(windows), F.sum(b.cast("double") - a), F.max("b").cast("double") - F.min("a")).first()
         return tasks <= 1 or (files * CLUSTERED_ROWS <= rows and spans <= 2 * whole)
 
+    def _by_windows(self, records: DataFrame) -> tuple[dict[int, int], int]:
+        """One file for each window of these records, and the number of pieces to sort, for write()."""
+        each = route.routed(records, self.options.partition_duration).groupBy("part_start").agg(F.count(F.lit(1)).alias("n"), F.sum(record_size()).alias("size")).collect()
+        large = any(r["n"] > SORT_ROWS or r["size"] > SORT_BYTES for r in each)
+        pieces = max(2, -(-sum(r["n"] for r in each) // SORT_ROWS), -(-sum(r["size"] for r in each) // SORT_BYTES)) if large else 1
+        return {r["part_start"]: 1 for r in each}, pieces
+
     def write(self, records: DataFrame, split: dict[int, int] | None = None, refuse: Column | None = None, layout: str = "auto", pieces: int = 1) -> tuple[list[FileEntry], dict[str, int]]:
         """Data files with these records, not yet committed; and how many bytes they have and how many records were refused.
 
         layout "range": rows are dealt by ranges of (window, ts), so a window with most of the rows is written by
         many tasks, and each file covers a narrow range of time. "clustered": each task sorts and writes what it
-        has, without a shuffle. "auto": clustered, if the tasks' times hardly overlap as they are. With split, each
+        has, without a shuffle. "auto": clustered, if the tasks' times hardly overlap as they are. "windows": each
+        window makes one file, which takes a pass that counts the records of each. With split, each
         window makes that many files instead, of equal stretches of time. A task sorts whole files then; with
         pieces over 1, as many tasks sort equal parts of all the records (with a column `row`, equal records are
         parted by it), and files of several parts are put together from them without a sort.
         """
-        if layout not in ("auto", "range", "clustered"):
-            raise ValueError("layout is auto, range or clustered")
+        if layout not in ("auto", "range", "clustered", "windows"):
+            raise ValueError("layout is auto, range, clustered or windows")
+        if layout == "windows":
+            split, pieces = self._by_windows(records)
         folder = f"data/{uuid.uuid4().hex}"
         dealt = route.routed(records, self.options.partition_duration)
         folders = ["part_start"]
