@@ -360,6 +360,37 @@ def test_near_copies_are_found(spark):
     assert all(a % 40 == b % 40 for a, b in found)
 
 
+def test_small_buckets_at_once_give_what_one_by_one_gives():
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefgh é😀"))
+    word = lambda n: "".join(rng.choice(letters, n))
+    texts, sizes = [], []
+    for size in (2, 3, 5, 9, 32, 2, 2):
+        base = [word(int(n)) for n in rng.integers(1, 3000, 2)]
+        texts += [(t := base[int(rng.integers(2))])[: (k := int(rng.integers(0, len(t))))] + word(int(rng.integers(0, 3))) + t[k:] for _ in range(size)]
+        sizes.append(size)
+    prints, docs = [p.text() for p in edit_embedding.prints(texts)[0]], list(range(100, 100 + len(texts)))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    read = [edit_embedding.Print.read(t) for t in prints]
+    assert np.allclose(edit_embedding._likenesses(prints, a, b), [edit_embedding.likeness(read[i], read[j]) for i, j in zip(a, b, strict=True)], atol=1e-12)
+    for similarity in (0.5, 0.8, 0.95):
+        expect, at = set(), 0
+        for size in sizes:
+            held = edit_embedding._Bucket()
+            for doc, text in zip(docs[at : at + size], prints[at : at + size], strict=True):
+                expect.update(held.meet(doc, text, similarity))
+            at += size
+        assert expect and set(edit_embedding._small(docs, prints, sizes, similarity)) == expect
+
+
+def test_all_walks_of_one_pass_give_the_fingerprints_of_each(spark):
+    texts = ["", "a", "abc é" * 70, None, "😀x" * 400, *(chr(97 + k % 26) * k for k in range(60))]
+    found = {(r.walk, r.doc_id): r.fingerprint for r in edit_embedding.walked(docs_of(spark, texts), 3).collect()}
+    for k in range(3):
+        each = edit_embedding.fingerprints(docs_of(spark, texts), k * 7919).collect()
+        assert {r.doc_id: r.fingerprint for r in each} == {d: f for (w, d), f in found.items() if w == k}
+
+
 def test_near_copies_are_found_among_many_unrelated_documents(spark, monkeypatch):
     monkeypatch.setattr(edit_embedding, "BAND_BITS", 5)  # at the fewest, for 100 times as many documents as a band has values
     rng = random.Random(16)
